@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pricewright.llm import langid, lm, quality, toxicity
 from pricewright.llm.exact_dedup import exact_dedup
 from pricewright.llm.packing import pack
 from pricewright.llm.simhash import simhash_components
+from pricewright.llm.workers import crc_rest
 from pricewright.session import table
 
 
@@ -19,6 +21,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(crc_rest("doc_id", 3) != 1))
+    return langid.identify(docs, model).select("doc_id", (crc_rest("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity.fit(docs.where(crc_rest("doc_id", 4) != 2), table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, index).select("doc_id", (crc_rest("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -27,12 +41,25 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs.where(crc_rest("doc_id", 3) != 1), table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, model).select("doc_id", (crc_rest("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, counts = lm.train(docs.where(crc_rest("doc_id", 7) != 2))
+    out = lm.score(docs, model, counts)
+    return out.select("doc_id", (crc_rest("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_packing, op6_exact_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op4_toxicity, op5_packing, op6_exact_dedup, op8_quality, op9_lm_scoring, op10_simhash)}
 
 
 OP6_SQL = """

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 #: Whitespace of the contracts: \x20 and \x09-\x0D, as bytes.split() takes it.
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -63,3 +64,39 @@ def fold_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
                 break
             root = up
     return root
+
+
+def words_of(texts: pa.Array, unicode_space: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words of texts in order: their codes, the row of each, and the distinct words by code.
+
+    A-Z are lower-cased. Words end at ASCII whitespace, or at any Unicode whitespace.
+    """
+    pc = pa.compute
+    low = pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), ""))
+    lists = (pc.utf8_split_whitespace if unicode_space else pc.ascii_split_whitespace)(low)
+    flat = lists.flatten()
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    full = pc.greater(pc.binary_length(flat), 0)
+    coded = flat.filter(full).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), row[full.to_numpy(zero_copy_only=False)], coded.dictionary
+
+
+def crc_rest(id_col: str, parts: int):
+    """crc32(id as text) mod parts, as a column."""
+    from pyspark.sql import functions as F
+
+    return F.crc32(F.encode(F.col(id_col).cast("string"), "utf-8")) % parts
+
+
+def bounded_sample(df, key: str, bound: int):
+    """About `bound` rows of df, or all if it has fewer: those whose hash of key is lowest.
+
+    Only a count goes over all rows first; the choice depends on the keys alone.
+    """
+    from pyspark.sql import functions as F
+
+    n = df.count()
+    if n <= bound:
+        return df
+    share = int(bound / n * (1 << 32))
+    return df.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 32)) < share)
