@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pricewright.llm import langid, lm, quality, toxicity
+from pricewright.llm.embedding_dedup import near_duplicates
 from pricewright.llm.exact_dedup import exact_dedup
+from pricewright.llm.license_scan import known_licenses, scan
 from pricewright.llm.packing import pack
 from pricewright.llm.simhash import simhash_components
 from pricewright.llm.workers import crc_rest
@@ -27,6 +29,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", (crc_rest("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = toxicity.fit(docs.where(crc_rest("doc_id", 4) != 2), table(spark, sf_dir, "labels"))
@@ -41,6 +47,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"), known_licenses(spark))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs.where(crc_rest("doc_id", 3) != 1), table(spark, sf_dir, "labels"))
@@ -59,7 +69,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_toxicity, op5_packing, op6_exact_dedup, op8_quality, op9_lm_scoring, op10_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op3_embedding_dedup, op4_toxicity, op5_packing, op6_exact_dedup, op7_license_scan, op8_quality, op9_lm_scoring, op10_simhash)}
 
 
 OP6_SQL = """
