@@ -21,6 +21,7 @@ def build(master: str = "local[*]", name: str = "pricewright", **conf: str) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.shuffle.partitions": str(cores),
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     }
     for k, v in (base | conf).items():
@@ -61,3 +62,22 @@ def _clean() -> None:
 
 
 atexit.register(_clean)
+
+
+def schema(ddl: str):
+    """A struct type from `name type, ...` without a running session; types may be array<...> or map<...,...>."""
+    import re
+
+    from pyspark.sql import types as T
+
+    plain = {"string": T.StringType(), "double": T.DoubleType(), "float": T.FloatType(), "long": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+
+    def kind(t: str) -> T.DataType:
+        if t.startswith("array<"):
+            return T.ArrayType(kind(t[6:-1]))
+        if t.startswith("map<"):
+            k, _, x = t[4:-1].partition(",")
+            return T.MapType(kind(k), kind(x))
+        return plain[t]
+
+    return T.StructType([T.StructField(n, kind(t)) for n, t in re.findall(r"(\w+) ((?:array<[^>]*>|map<[^>]*>|\w+))", ddl)])
