@@ -17,6 +17,7 @@ from pricewright.session import stash
 
 END = "\n"  # no word holds whitespace
 BLOCK_BITS = 1 << 16
+CELLS = BLOCK_BITS // 64
 PROBES = 4
 HEAD = 1 << 20
 WORD_BYTES = 64
@@ -38,10 +39,22 @@ def word_hash(words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w.encode(), 42) for w in words), np.uint64, len(words))
 
 
-def _places(h: np.ndarray, level: np.ndarray | int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """The block of n-grams and their probes there at a level."""
+def tagged(h: np.ndarray, word: bool) -> np.ndarray:
+    """Hashes whose last bit tells words from pairs."""
+    return h & ~np.uint64(1) | np.uint64(word)
+
+
+def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
+    return ((h >> np.uint64(16)) % np.uint64(blocks)).astype(np.int64)
+
+
+def _probe(h: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Where n-grams are probed at a level: the 64-bit cell within their block, and its bits, all read at once."""
     g = mix(h + np.uint64(0xA0761D6478BD642F) * (np.atleast_1d(level).astype(np.uint64) + np.uint64(1)))
-    return ((h >> np.uint64(16)) % np.uint64(blocks)).astype(np.int64), np.stack([(g >> np.uint64(16 * k) & np.uint64(0xFFFF)).astype(np.int64) for k in range(PROBES)])
+    bits = np.zeros(len(g), np.uint64)
+    for k in range(PROBES):
+        bits |= np.uint64(1) << (g >> np.uint64(6 * k) & np.uint64(63))
+    return (g >> np.uint64(32)).astype(np.int64) % CELLS, bits
 
 
 def levels_of(n: np.ndarray) -> np.ndarray:
@@ -58,40 +71,37 @@ def counts_of(levels: np.ndarray) -> np.ndarray:
 class LogFrequencyFilter:
     """Bits in blocks; an n-gram of level q has its probes set at the levels 1 to q of its one block."""
 
-    bits: np.ndarray
+    cells: np.ndarray
     blocks: int
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """The largest q such that all probes at levels 1 to q are set."""
         out = np.zeros(len(h), np.int64)
-        live = np.arange(len(h))
-        q = 0
+        live, base, q = np.arange(len(h)), block_of(h, self.blocks) * CELLS, 0
         while len(live):
             q += 1
-            block, spots = _places(h[live], q, self.blocks)
-            for k in range(PROBES):
-                s = spots[k]
-                yes = self.bits[block * (BLOCK_BITS // 8) + (s >> 3)] >> (s & 7).astype(np.uint8) & 1 > 0
-                live, block, spots = live[yes], block[yes], spots[:, yes]
+            cell, bits = _probe(h[live], q)
+            yes = self.cells[base[live] + cell] & bits == bits
+            live = live[yes]
             out[live] = q
         return out
 
 
-def _fill(blocks: int):
-    """A mapInArrow body: rows (b, h, n, word) sorted by block to (b, bits), words' entries first, then the highest levels."""
+def _fill():
+    """A mapInArrow body: rows (b, h, n) sorted by block to (b, cells), words' entries first, then the highest levels."""
 
-    def block_bits(h: np.ndarray, n: np.ndarray, word: np.ndarray) -> bytes:
+    def block_cells(h: np.ndarray, n: np.ndarray) -> bytes:
         level = levels_of(n)
-        order = np.lexsort((h, -level, ~word))
+        order = np.lexsort((h, -level, 1 - (h & np.uint64(1)).astype(np.int8)))
         h, level = h[order], level[order]
         room = int(BLOCK_BITS * np.log(2) / PROBES)  # entries that leave half of the bits clear
         fits = np.cumsum(level) <= room
         h, level = h[fits], level[fits]
         each = np.repeat(np.arange(len(h)), level)
         q = np.arange(len(each)) - np.repeat(np.cumsum(level) - level, level) + 1
-        on = np.zeros(BLOCK_BITS, np.uint8)
-        on[_places(h[each], q, blocks)[1].ravel()] = 1
-        return np.packbits(on, bitorder="little").tobytes()
+        cells = np.zeros(CELLS, np.uint64)
+        np.bitwise_or.at(cells, *_probe(h[each], q))
+        return cells.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
@@ -99,7 +109,7 @@ def _fill(blocks: int):
         def out(cols: list[np.ndarray]) -> pa.RecordBatch:
             cuts = np.flatnonzero(np.diff(cols[0])) + 1
             parts = [np.split(c, cuts) for c in cols]
-            return pa.RecordBatch.from_arrays([pa.array([int(b[0]) for b in parts[0]], pa.int32()), pa.array([block_bits(h.view(np.uint64), n, w) for _, h, n, w in zip(*parts, strict=True)], pa.binary())], ["b", "bits"])
+            return pa.RecordBatch.from_arrays([pa.array([int(b[0]) for b in parts[0]], pa.int32()), pa.array([block_cells(h.view(np.uint64), n) for _, h, n in zip(*parts, strict=True)], pa.binary())], ["b", "cells"])
 
         for x in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in x.columns]
@@ -114,8 +124,8 @@ def _fill(blocks: int):
     return run
 
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-    """Codes of all tokens in order (the end is the last code), the row of each, where each is a row's first, the words, and their hashes with the end's."""
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, list[str], np.ndarray]:
+    """Codes of all tokens in order (the end is the last code), the row of each, where each is a row's first, the words twice, and their hashes with the end's."""
     codes, row, words = words_of(texts)
     n, v = len(texts), len(words)
     lens = np.bincount(row, minlength=n)
@@ -123,7 +133,8 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Arr
     code[np.arange(len(codes)) + row] = codes
     of = np.repeat(np.arange(n), lens + 1)
     first = np.diff(of, prepend=-1) != 0
-    return code, of, first, words, np.append(word_hash(words.to_pylist()), word_hash([END]))
+    names = words.to_pylist()
+    return code, of, first, words, names, np.append(word_hash(names), word_hash([END]))
 
 
 def _pairs(code: np.ndarray, first: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -157,16 +168,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in portions(whole, "t", 1 << 24):
+            for b in portions(whole, "t", 1 << 23):
                 code, _, names = words_of(b.column(0))
                 n = np.bincount(code, minlength=len(names))
-                yield pa.RecordBatch.from_arrays([pa.array([*names.to_pylist(), END], pa.string()), pa.array(np.append(n, b.num_rows).astype(np.int64))], ["w", "n"])
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([names.cast(pa.string()), pa.array([END])]), pa.array(np.append(n, b.num_rows).astype(np.int64))], ["w", "n"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in portions(whole, "t", 1 << 24):
-                code, _, first, _, h = _tokens(b.column(0))
-                p, n = np.unique(_pairs(code, first, h), return_counts=True)
+            for b in portions(whole, "t", 1 << 23):
+                code, _, first, _, _, h = _tokens(b.column(0))
+                p, n = np.unique(tagged(_pairs(code, first, h), False), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     counts = stash(rows.mapInArrow(words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
@@ -174,14 +185,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
     blocks = max(1, min(6 * total, most_bits) // BLOCK_BITS)
     head = {r.w: r.n for r in counts.where(f"n * {HEAD}L >= {total} and octet_length(w) <= {WORD_BYTES}").collect()}
     block = F.expr(f"cast(pmod(shiftrightunsigned(h, 16), {blocks}L) as int)")
-    grams = rows.mapInArrow(pairs, "h long, n long").withColumn("word", F.lit(False))
-    single = counts.select(F.xxhash64("w").alias("h"), "n", F.lit(True).alias("word"))
-    by_block = single.unionAll(grams).withColumn("b", block).repartition("b").groupBy("b", "h", "word").agg(F.sum("n").alias("n"))
-    parts = by_block.sortWithinPartitions("b").select("b", "h", "n", "word").mapInArrow(_fill(blocks), "b int, bits binary")
-    bits = np.zeros(blocks * (BLOCK_BITS // 8), np.uint8)
+    grams = rows.mapInArrow(pairs, "h long, n long")
+    single = counts.select(F.xxhash64("w").bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(1)).alias("h"), "n")
+    by_block = single.unionAll(grams).repartition(block).groupBy(block.alias("b"), "h").agg(F.sum("n").alias("n"))
+    parts = by_block.sortWithinPartitions("b").mapInArrow(_fill(), "b int, cells binary")
+    cells = np.zeros(blocks * CELLS, np.uint64)
     for r in parts.collect():
-        bits[r.b * (BLOCK_BITS // 8) : (r.b + 1) * (BLOCK_BITS // 8)] = np.frombuffer(r.bits, np.uint8)
-    return NgramModel(total, distinct, head, LogFrequencyFilter(bits, blocks)), counts
+        cells[r.b * CELLS : (r.b + 1) * CELLS] = np.frombuffer(r.cells, np.uint64)
+    return NgramModel(total, distinct, head, LogFrequencyFilter(cells, blocks)), counts
 
 
 def score(docs: DataFrame, model: NgramModel, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,18 +217,17 @@ def score(docs: DataFrame, model: NgramModel, counts: DataFrame, id_col: str = "
         for whole in batches:
             for b in portions(whole, "t"):
                 n = b.num_rows
-                code, of, first, words, h = _tokens(b.column(1))
-                names = words.to_pylist()
+                code, of, first, words, names, h = _tokens(b.column(1))
                 exact = np.fromiter((own.head.get(w, -1) for w in [*names, END]), np.int64, len(names) + 1)
                 c = exact[code]
                 is_head = c >= 0
                 base = np.bincount(of, np.where(is_head, np.log10((np.maximum(c, 0) + 1) / below), 0.0), minlength=n)
                 known = np.bincount(of[c > 0], minlength=n)
-                one = counts_of(own.filter.levels(h))
+                one = counts_of(own.filter.levels(tagged(h, True)))
                 p1 = (one + 1) / below
                 seen = one[code] > 0
                 two = np.zeros(len(code))
-                two[seen] = counts_of(own.filter.levels(_pairs(code, first, h)[seen]))
+                two[seen] = counts_of(own.filter.levels(tagged(_pairs(code, first, h)[seen], False)))
                 before = np.roll(code, 1)
                 before[first] = len(names)
                 context = one[before]
