@@ -11,40 +11,117 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewright.llm.workers import slices, worker_cache
+from pricewright.llm.workers import fold, portions, slices, worker_cache
 
 WINDOW = 2048
 END_ID = 1
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def word_encoder(path: str, most: int = 300_000) -> Callable[[list[str | None]], list[bytes]]:
+class Memory:
+    """A bounded dictionary: entries not asked for while `most` new ones came are forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys: list) -> list:
+        """The distinct keys that are not held; those that are come to the young half."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        out = []
+        for k in set(keys).difference(self.young):
+            v = self.old.get(k)
+            if v is None:
+                out.append(k)
+            else:
+                self.young[k] = v
+        return out
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabets: printable bytes of Latin-1 stand for themselves, the rest for code points from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def word_encoder(path: str, most: int = 500_000) -> Callable[[list[str | None]], list[bytes]]:
     """Texts to little-endian 32-bit ids, by a tokenizer whose tokens never cross ASCII whitespace.
 
-    Every whitespace-free stretch is encoded once and remembered; at `most` stretches the
-    memory starts anew, so it is bounded and results do not depend on it.
+    Every whitespace-free stretch is encoded once and remembered, in bounded memory. One of
+    letters of the Latin blocks, with or without `.`, `,` or `!` at its end, goes to the
+    tokenizer's model as the word and the marks that its rules would make of it; any other goes
+    through all of its rules.
     """
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     cache = worker_cache()
     if ("tokenizer", path) not in cache:
-        cache["tokenizer", path] = (Tokenizer.from_file(path), {})
-    model, known = cache["tokenizer", path]
+        whole = Tokenizer.from_file(path)
+        bare = Tokenizer(whole.model)
+        bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        cache["tokenizer", path] = (whole, bare, Memory(most), Memory(most))
+    whole, bare, stretches, cores = cache["tokenizer", path]
+    letters = _byte_letters()
+
+    def by_rules(words: list[bytes]) -> list[bytes]:
+        return [np.array(g.ids, "<u4").tobytes() for g in whole.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+
+    def by_model(words: list[bytes], run: int = 256) -> list[bytes]:
+        out = []
+        for k in range(0, len(words), run):
+            own = words[k : k + run]
+            got = bare.encode(" ".join(w.decode() if w.isascii() else w.decode("latin-1").translate(letters) for w in own), add_special_tokens=False)
+            ids = np.array(got.ids, "<u4").tobytes()
+            ends = np.searchsorted(np.array(got.word_ids), np.arange(len(own) + 1)) * 4
+            out += [ids[x:z] for x, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return out
+
+    def plain(core: bytes) -> bool:
+        t = core.decode()
+        return t.isalpha() and (t.isascii() or max(t) < "\u0250" and "\u0130" not in t)
+
+    def learn(words: list[bytes]) -> None:
+        new = stretches.missing(words)
+        if not new:
+            return
+        found = [w.rstrip(b".,!") for w in new]
+        ends = [w[len(c) :] for w, c in zip(new, found, strict=True)]
+        simple, low, marks = [], [], []
+        for c in cores.missing(found + ends):
+            if c[:1] in (b".", b",", b"!"):
+                marks.append(c)
+            elif plain(c):
+                simple.append(c)
+                low.append(c.lower() if c.isascii() else c.decode().lower().encode())
+            else:
+                cores.young[c] = False
+        held = cores.young
+        held.update(zip(marks, by_rules(marks), strict=True))
+        held.update(zip(simple, by_model(low), strict=True))
+        held[b""] = b""
+        direct = []
+        for w, c, end in zip(new, found, ends, strict=True):
+            ids = held[c]
+            if ids is False:
+                direct.append(w)
+            else:
+                stretches.young[w] = ids + held[end]
+        stretches.young.update(zip(direct, by_rules(direct), strict=True))
 
     def encode(texts: list[str | None]) -> list[bytes]:
+        raws = [fold(t) if t is None or "<|" not in t else t.encode() for t in texts]  # special tokens keep their case
+        if sum(map(len, raws)) <= 1 << 22:
+            split = [r.split() for r in raws]
+            learn([w for words in split for w in words])
+            return [b"".join(map(stretches.young.__getitem__, words)) for words in split]
         out = []
-        for t in texts:
+        for raw in raws:
             parts = []
-            for part in slices((t or "").encode()):
+            for part in slices(raw):
                 words = part.split()
-                new = list(set(words).difference(known))
-                if new:
-                    if len(known) + len(new) > most:
-                        known.clear()
-                        new = list(set(words))
-                    got = model.encode_batch([w.decode() for w in new], add_special_tokens=False)
-                    known.update(zip(new, (np.array(g.ids, "<u4").tobytes() for g in got), strict=True))
-                parts.append(b"".join(map(known.__getitem__, words)))
+                learn(words)
+                parts.append(b"".join(map(stretches.young.__getitem__, words)))
             out.append(b"".join(parts))
         return out
 
@@ -135,12 +212,13 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         rows_type = pa.int64()
         for b in batches:
             rows_type = b.column(0).type
-            for i, t in zip(b.column(0), b.column(1), strict=True):
-                held.append(encode([t.as_py()])[0] + end)
-                ids.append(i.as_py())
-                size += len(held[-1]) // 4
-                if size >= batch_tokens or len(held) >= batch_docs:
-                    yield from flush()
+            for part in portions(b, "t", 1 << 21):
+                for i, h in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                    held.append(h + end)
+                    ids.append(i)
+                    size += len(h) // 4 + 1
+                    if size >= batch_tokens or len(held) >= batch_docs:
+                        yield from flush()
         if held:
             yield from flush()
 
