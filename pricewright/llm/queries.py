@@ -11,6 +11,7 @@ from pricewright.llm.embedding_dedup import near_duplicates
 from pricewright.llm.exact_dedup import exact_dedup
 from pricewright.llm.license_scan import known_licenses, scan
 from pricewright.llm.packing import pack
+from pricewright.llm.pieces import encode_pieces
 from pricewright.llm.simhash import simhash_components
 from pricewright.llm.workers import crc_rest
 from pricewright.session import table
@@ -29,6 +30,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", (crc_rest("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -69,7 +74,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_embedding_dedup, op4_toxicity, op5_packing, op6_exact_dedup, op7_license_scan, op8_quality, op9_lm_scoring, op10_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_embedding_dedup, op4_toxicity, op5_packing, op6_exact_dedup, op7_license_scan, op8_quality, op9_lm_scoring, op10_simhash)}
 
 
 OP6_SQL = """
