@@ -225,7 +225,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 all_letters = by.sum(1)
                 share = by[np.arange(n), best] / np.maximum(all_letters, 1)
                 mine = label == best[row]
-                sums = np.stack([np.bincount(row[mine], s[mine, k], minlength=n) for k in range(size)], 1)
+                sums = np.stack([np.bincount(row[mine], s[mine, k], minlength=n) for k in range(size)], 1).astype(float)
                 lead = sums[np.arange(n), best]
                 sums[np.arange(n), best] = -np.inf
                 margin = np.clip(lead - sums.max(1), -30, 30) if size > 1 else np.full(n, 30.0)

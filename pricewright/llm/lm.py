@@ -240,7 +240,7 @@ def score(docs: DataFrame, model: NgramModel, counts: DataFrame, id_col: str = "
                 pair, times = np.unique(of[~is_head].astype(np.int64) << 32 | code[~is_head], return_counts=True)
                 d, w = pair >> 32, pair & 0xFFFFFFFF
                 zero = np.zeros(len(pair))
-                tail = [k[d], words.take(pa.array(w)), times, zero, zero.astype(np.int64), zero.astype(np.int64), zero]
+                tail = [k[d], pa.concat_arrays([words.cast(pa.string()), pa.array([END])]).take(pa.array(w)), times, zero, zero.astype(np.int64), zero.astype(np.int64), zero]
                 for part, ids in ((docs_out, b.column(0)), (tail, pa.nulls(len(pair), b.column(0).type))):
                     m = len(part[0])
                     text = pa.array([f"{END}{x}" for x in part[0]], pa.string()) if part[1] is None else part[1].cast(pa.string())
