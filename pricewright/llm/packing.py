@@ -45,7 +45,7 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-def word_encoder(path: str, most: int = 500_000) -> Callable[[list[str | None]], list[bytes]]:
+def word_encoder(path: str, most: int = 200_000) -> Callable[[list[str | None]], list[bytes]]:
     """Texts to little-endian 32-bit ids, by a tokenizer whose tokens never cross ASCII whitespace.
 
     Every whitespace-free stretch is encoded once and remembered, in bounded memory. One of

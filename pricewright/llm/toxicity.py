@@ -87,7 +87,7 @@ class BlockMaxIndex:
         """Vote of the neighbours, weighed by squared cosine, with `prior` votes of the base rate."""
         key = tuple(features)
         if key not in self.memo:
-            if len(self.memo) > 20_000:
+            if len(self.memo) > 5_000:
                 self.memo.clear()
             near = self.nearest(self.weigh(features), k) if features else []
             w = np.array([c * c for _, c in near])
