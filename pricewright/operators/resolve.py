@@ -190,7 +190,7 @@ def clusters(listings: DataFrame) -> DataFrame:
     components are solved apart, each in one task: its size is bounded by the blocks'
     cap where codes do not chain it.
     """
-    rows = prepared(listings)
+    rows = stash(prepared(listings), "prepared")
     pairs = scored(rows, candidates(rows))
     coded = rows.join(code_groups(rows), "style_code").where("listing_id <> first").select(F.col("first").alias("a"), F.col("listing_id").alias("b"))
     links = stash(pairs.unionAll(coded.select("a", "b", F.lit(2.0).alias("score"))), "links")

@@ -16,6 +16,7 @@ from pricewright.operators.catalog import Catalog, price_drops
 from pricewright.operators.offers import Spec, deals
 from pricewright.plans import answer as a
 from pricewright.plans.understand import parse, refine, relaxed
+from pricewright.session import stash
 from pricewright.sources.listings import Source
 
 
@@ -56,7 +57,7 @@ class Engine:
         hits = retrieval.search(self.index, self.rows, {"q": text}, wide, spec.top_k).select("listing_id", "score")
         found = self.rows.join(F.broadcast(hits), "listing_id").drop("vector")  # top_k rows at most
         more = resolve.siblings(self.rows.drop("vector"), found).withColumn("score", F.lit(0.0))
-        both = found.unionByName(more)
+        both = stash(found.unionByName(more), "found")  # a few listings, used by several plans
         member = resolve.clusters(both)
         named = resolve.products(both, member)
         priced = both.join(member, "listing_id").withColumns({"unit_price": p.price_for(spec.size), "total": p.total_for(spec.size), "discount": p.discount_for(spec.size), "premium": p.premium_for(spec.size), "sized": p.has_size(spec.size), "top_total": p.total_for()})
