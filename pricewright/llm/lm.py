@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ CELLS = BLOCK_BITS // 64
 PROBES = 4
 HEAD = 1 << 20
 WORD_BYTES = 64
+TOKEN_BITS = 12  # a token adds two levels at most, each of PROBES bits: no block is much over half full
+RANGE = 64  # blocks that are probed together
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,11 +75,12 @@ class LogFrequencyFilter:
 
     cells: np.ndarray
     blocks: int
+    first: int = 0  # the block of the first cells
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """The largest q such that all probes at levels 1 to q are set."""
         out = np.zeros(len(h), np.int64)
-        live, base, q = np.arange(len(h)), block_of(h, self.blocks) * CELLS, 0
+        live, base, q = np.arange(len(h)), (block_of(h, self.blocks) - self.first) * CELLS, 0
         while len(live):
             q += 1
             cell, bits = _probe(h[live], q)
@@ -88,15 +91,10 @@ class LogFrequencyFilter:
 
 
 def _fill():
-    """A mapInArrow body: rows (b, h, n) sorted by block to (b, cells), words' entries first, then the highest levels."""
+    """A mapInArrow body: rows (b, h, n) sorted by block to (b, cells). Every entry is kept."""
 
     def block_cells(h: np.ndarray, n: np.ndarray) -> bytes:
         level = levels_of(n)
-        order = np.lexsort((h, -level, 1 - (h & np.uint64(1)).astype(np.int8)))
-        h, level = h[order], level[order]
-        room = int(BLOCK_BITS * np.log(2) / PROBES)  # entries that leave half of the bits clear
-        fits = np.cumsum(level) <= room
-        h, level = h[fits], level[fits]
         each = np.repeat(np.arange(len(h)), level)
         q = np.arange(len(each)) - np.repeat(np.cumsum(level) - level, level) + 1
         cells = np.zeros(CELLS, np.uint64)
@@ -146,22 +144,23 @@ def _pairs(code: np.ndarray, first: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class NgramModel:
-    """total and distinct tokens of training, exact counts of the frequent words, and the filter."""
+    """total and distinct tokens of training, exact counts of the frequent words, and the filter: whole, or as rows (b, cells)."""
 
     tokens: int
     distinct: int
     head: dict[str, int]
-    filter: LogFrequencyFilter
+    filter: LogFrequencyFilter | None
+    blocks: int
+    parts: DataFrame | None = None
     trust: float = 10.0  # a context seen this often weighs its own counts as much as the words' own
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = 600_000_000) -> tuple[NgramModel, DataFrame]:
     """The model, and (w, n): the exact count of every token of docs.
 
-    All words and pairs of words are counted. The filter takes six bits a training token and
-    `most_bits` at most, which bounds what is broadcast. Where a block would be more than half
-    full, it keeps all words and the most frequent pairs; scores of other pairs rest on
-    the words alone. `head` has the words of 64 bytes at most whose count is at least a
+    All words and pairs of words are counted and kept. The filter takes twelve bits a training
+    token. One of `most_bits` at most is gathered and broadcast; a larger one stays a table of
+    blocks, which scores probe by a shuffle. `head` has the words of 64 bytes at most whose count is at least a
     2^-20 share of all tokens, so there are at most 2^20.
     """
     rows = docs.select(F.col(text_col).alias("t"))
@@ -182,17 +181,74 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
 
     counts = stash(rows.mapInArrow(words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    blocks = max(1, min(6 * total, most_bits) // BLOCK_BITS)
+    blocks = max(1, -(-TOKEN_BITS * total // BLOCK_BITS))
     head = {r.w: r.n for r in counts.where(f"n * {HEAD}L >= {total} and octet_length(w) <= {WORD_BYTES}").collect()}
     block = F.expr(f"cast(pmod(shiftrightunsigned(h, 16), {blocks}L) as int)")
     grams = rows.mapInArrow(pairs, "h long, n long")
     single = counts.select(F.xxhash64("w").bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(1)).alias("h"), "n")
     by_block = single.unionAll(grams).repartition(block).groupBy(block.alias("b"), "h").agg(F.sum("n").alias("n"))
     parts = by_block.sortWithinPartitions("b").mapInArrow(_fill(), "b int, cells binary")
+    if blocks * BLOCK_BITS > max(most_bits, BLOCK_BITS):
+        return NgramModel(total, distinct, head, None, blocks, stash(parts, "filter")), counts
     cells = np.zeros(blocks * CELLS, np.uint64)
     for r in parts.collect():
         cells[r.b * CELLS : (r.b + 1) * CELLS] = np.frombuffer(r.cells, np.uint64)
-    return NgramModel(total, distinct, head, LogFrequencyFilter(cells, blocks)), counts
+    return NgramModel(total, distinct, head, LogFrequencyFilter(cells, blocks), blocks), counts
+
+
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Runs of rows of one group g, the first column."""
+    for b in batches:
+        g = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+        yield from ((int(g[a]), b.slice(a, z - a)) for a, z in zip(cuts, cuts[1:], strict=False) if z > a)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A mapInArrow body: rows (i, t) to (g, i, t), where a group g has a portion of texts."""
+    key = TaskContext.get().partitionId() << 33
+    for whole in batches:
+        for b in portions(whole, "t"):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, key)), b.column(0), b.column(1)], ["g", "i", "t"])
+            key += b.num_rows
+
+
+def _probed(grouped: DataFrame, model: NgramModel) -> DataFrame:
+    """(g, h, q): the levels of all n-grams of each group that have one, each group's distinct n-grams dealt to the filter's blocks."""
+    blocks = model.blocks
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, b in _by_group(batches):
+            code, _, first, _, _, h = _tokens(b.column(2))
+            all_h = np.unique(np.concatenate([tagged(h, True), tagged(_pairs(code, first, h), False)]))
+            r = block_of(all_h, blocks) // RANGE
+            yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(np.full(len(r), g)), pa.array(all_h.view(np.int64))], ["r", "g", "h"])
+
+    def look(asked: pa.Table, cells: pa.Table) -> pa.Table:
+        own, g, h = np.zeros(RANGE * CELLS, np.uint64), asked.column("g").to_numpy(), asked.column("h").to_numpy()
+        low = asked.column("r")[0].as_py() * RANGE if len(h) else 0
+        for b, c in zip(cells.column("b").to_pylist(), cells.column("cells").to_pylist(), strict=True):
+            if len(h):
+                own[(b - low) * CELLS : (b - low + 1) * CELLS] = np.frombuffer(c, np.uint64)
+        q = LogFrequencyFilter(own, blocks, low).levels(h.view(np.uint64))
+        return pa.table({"g": g[q > 0], "h": h[q > 0], "q": q[q > 0].astype(np.int8)})
+
+    asked = grouped.mapInArrow(probes, "r int, g long, h long").groupBy("r")
+    cells = model.parts.select(F.floor(F.col("b") / RANGE).cast("int").alias("r"), "b", "cells").groupBy("r")
+    return asked.cogroup(cells).applyInArrow(look, "g long, h long, q byte")
+
+
+def _lookup(found: pa.Table) -> Callable[[np.ndarray], np.ndarray]:
+    """Hashes to levels, by the rows (g, h, q) of a group."""
+    h, q = found.column("h").to_numpy().view(np.uint64), found.column("q").to_numpy().astype(np.int64)
+    order = np.argsort(h)
+    h, q = np.append(h[order], np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(q[order], 0)
+
+    def levels(x: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(h, x)
+        return np.where(h[at] == x, q[at], 0)
+
+    return levels
 
 
 def score(docs: DataFrame, model: NgramModel, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,46 +264,63 @@ def score(docs: DataFrame, model: NgramModel, counts: DataFrame, id_col: str = "
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     kind = rows.schema["i"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, parts=None))
     below = model.tokens + 1 * (model.distinct + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(b: pa.RecordBatch, key: int, levels: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        n = b.num_rows
+        code, of, first, words, names, h = _tokens(b.column(1))
+        exact = np.fromiter((own.head.get(w, -1) for w in [*names, END]), np.int64, len(names) + 1)
+        c = exact[code]
+        is_head = c >= 0
+        base = np.bincount(of, np.where(is_head, np.log10((np.maximum(c, 0) + 1) / below), 0.0), minlength=n)
+        known = np.bincount(of[c > 0], minlength=n)
+        one = counts_of(levels(tagged(h, True)))
+        p1 = (one + 1) / below
+        seen = one[code] > 0
+        two = np.zeros(len(code))
+        two[seen] = counts_of(levels(tagged(_pairs(code, first, h)[seen], False)))
+        before = np.roll(code, 1)
+        before[first] = len(names)
+        context = one[before]
+        two = np.minimum(two, np.minimum(context, one[code]))
+        p = (two + own.trust * p1[code]) / (context + own.trust)
+        total = np.bincount(of, np.log10(np.minimum(p, 1.0)), minlength=n)
+        k = key + np.arange(n)
+        docs_out = [k, None, np.zeros(n, np.int64), base, known, np.bincount(of, minlength=n), total]
+        pair, times = np.unique(of[~is_head].astype(np.int64) << 32 | code[~is_head], return_counts=True)
+        d, w = pair >> 32, pair & 0xFFFFFFFF
+        zero = np.zeros(len(pair))
+        tail = [k[d], pa.concat_arrays([words.cast(pa.string()), pa.array([END])]).take(pa.array(w)), times, zero, zero.astype(np.int64), zero.astype(np.int64), zero]
+        for part, ids in ((docs_out, b.column(0)), (tail, pa.nulls(len(pair), b.column(0).type))):
+            m = len(part[0])
+            text = pa.array([f"{END}{x}" for x in part[0]], pa.string()) if part[1] is None else part[1].cast(pa.string())
+            cols = [pa.array(part[0]), pa.array([part[1] is None] * m, pa.bool_()), ids, text, *(pa.array(x.astype(t)) for x, t in zip(part[2:], (np.int64, float, np.int64, np.int64, float), strict=True))]
+            yield pa.RecordBatch.from_arrays(cols, ["k", "own", "i", "w", "f", "base", "known", "tokens", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = shared.value.filter.levels
         key = TaskContext.get().partitionId() << 33
         for whole in batches:
             for b in portions(whole, "t"):
-                n = b.num_rows
-                code, of, first, words, names, h = _tokens(b.column(1))
-                exact = np.fromiter((own.head.get(w, -1) for w in [*names, END]), np.int64, len(names) + 1)
-                c = exact[code]
-                is_head = c >= 0
-                base = np.bincount(of, np.where(is_head, np.log10((np.maximum(c, 0) + 1) / below), 0.0), minlength=n)
-                known = np.bincount(of[c > 0], minlength=n)
-                one = counts_of(own.filter.levels(tagged(h, True)))
-                p1 = (one + 1) / below
-                seen = one[code] > 0
-                two = np.zeros(len(code))
-                two[seen] = counts_of(own.filter.levels(tagged(_pairs(code, first, h)[seen], False)))
-                before = np.roll(code, 1)
-                before[first] = len(names)
-                context = one[before]
-                two = np.minimum(two, np.minimum(context, one[code]))
-                p = (two + own.trust * p1[code]) / (context + own.trust)
-                total = np.bincount(of, np.log10(np.minimum(p, 1.0)), minlength=n)
-                k = key + np.arange(n)
-                key += n
-                docs_out = [k, None, np.zeros(n, np.int64), base, known, np.bincount(of, minlength=n), total]
-                pair, times = np.unique(of[~is_head].astype(np.int64) << 32 | code[~is_head], return_counts=True)
-                d, w = pair >> 32, pair & 0xFFFFFFFF
-                zero = np.zeros(len(pair))
-                tail = [k[d], pa.concat_arrays([words.cast(pa.string()), pa.array([END])]).take(pa.array(w)), times, zero, zero.astype(np.int64), zero.astype(np.int64), zero]
-                for part, ids in ((docs_out, b.column(0)), (tail, pa.nulls(len(pair), b.column(0).type))):
-                    m = len(part[0])
-                    text = pa.array([f"{END}{x}" for x in part[0]], pa.string()) if part[1] is None else part[1].cast(pa.string())
-                    cols = [pa.array(part[0]), pa.array([part[1] is None] * m, pa.bool_()), ids, text, *(pa.array(x.astype(t)) for x, t in zip(part[2:], (np.int64, float, np.int64, np.int64, float), strict=True))]
-                    yield pa.RecordBatch.from_arrays(cols, ["k", "own", "i", "w", "f", "base", "known", "tokens", "score"])
-
-    parts = rows.mapInArrow(run, f"k long, own boolean, i {kind}, w string, f long, base double, known long, tokens long, score double")
+                yield from scored(b, key, levels)
+                key += b.num_rows
+
+    def run_group(texts: pa.Table, found: pa.Table) -> pa.Table:
+        out = []
+        key, levels = texts.column("g")[0].as_py() if texts.num_rows else 0, _lookup(found)
+        for b in texts.select(["i", "t"]).to_batches():
+            out += scored(b, key, levels)
+            key += b.num_rows
+        return pa.Table.from_batches(out) if out else pa.schema([("k", pa.int64()), ("own", pa.bool_()), ("i", texts.schema.field("i").type), ("w", pa.string()), ("f", pa.int64()), ("base", pa.float64()), ("known", pa.int64()), ("tokens", pa.int64()), ("score", pa.float64())]).empty_table()
+
+    row = f"k long, own boolean, i {kind}, w string, f long, base double, known long, tokens long, score double"
+    if model.filter is not None:
+        parts = rows.mapInArrow(run, row)
+    else:
+        grouped = stash(rows.mapInArrow(_grouped, f"g long, i {kind}, t string"), "grouped")
+        parts = grouped.groupBy("g").cogroup(_probed(grouped, model).groupBy("g")).applyInArrow(run_group, row)
     c = F.coalesce("n", F.lit(0))
     joined = parts.join(counts, "w", "left").select(
         "k", "i", "own", "tokens", "score",

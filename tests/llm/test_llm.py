@@ -216,6 +216,37 @@ def test_lm_base_is_exact(docs, empty):
     assert {r.base_score for r in lm.score(docs, none, nothing).collect()} == {0.0}
 
 
+def test_lm_filter_grows_beyond_what_is_broadcast(spark, empty):
+    """Every word and pair is kept, also where the filter is larger than most_bits, and both ways score alike."""
+    rng = np.random.default_rng(8)
+    rows = [(i if i % 7 else None, " ".join(f"w{x}" for x in rng.integers(0, 3000, 300))) for i in range(120)] + [(500, None), (501, "unseen words here")]
+    rows = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    train = rows.where("doc_id is null or doc_id < 200")
+    whole, counts = lm.train(train)
+    cut, _ = lm.train(train, most_bits=lm.BLOCK_BITS)
+    assert whole.filter is not None and whole.blocks > 1 and cut.filter is None and cut.blocks == whole.blocks
+    line = lambda m: sorted((str(r.doc_id), r.n_tokens, round(r.base_score, 9), round(r.score, 9)) for r in lm.score(rows, m, counts).collect())
+    assert line(cut) == line(whole) and lm.score(empty, cut, counts).count() == 0
+    pairs, words_ = Counter(), Counter()
+    for r in train.collect():
+        w = [lm.END, *words(r.text), lm.END]
+        pairs.update(zip(w, w[1:], strict=False))
+        words_.update(w[1:])
+    names = list(words_)
+    assert (whole.filter.levels(lm.tagged(lm.word_hash(names), True)) >= lm.levels_of(np.array([words_[w] for w in names]))).all()
+    h = lm.tagged(lm.pair_hash(lm.word_hash([a for a, _ in pairs]), lm.word_hash([b for _, b in pairs])), False)
+    assert (whole.filter.levels(h) >= lm.levels_of(np.array(list(pairs.values())))).all()
+
+
+def test_filter_keeps_a_block_that_is_over_half_full():
+    import pyarrow as pa
+
+    h = lm.tagged(np.random.default_rng(9).integers(0, 1 << 63, 12_000).astype(np.uint64), False)
+    own = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(h), np.int32)), pa.array(h.view(np.int64)), pa.array(np.full(len(h), 2))], ["b", "h", "n"])
+    cells = np.frombuffer(next(iter(lm._fill()(iter([own])))).column(1)[0].as_py(), np.uint64)
+    assert (lm.LogFrequencyFilter(cells, 1).levels(h) >= 2).all()
+
+
 def test_filter_never_undercounts():
     rng = np.random.default_rng(6)
     h = lm.tagged(rng.integers(0, 1 << 63, 1000).astype(np.uint64), False)
