@@ -2,11 +2,13 @@
 
 Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last have the columns of
 documents. Null texts have no letter, so the first stage rejects them; other columns
-may hold nulls. Rows that repeat an id and a text are one document from the third stage on.
+may hold nulls. Ids may repeat: the third and fourth stages drop the rows that they mark, not their ids.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from pricewright.session import stash, table
 LEAST_LANGUAGE = 0.3
 #: Documents that score this much or more as toxic are rejected.
 MOST_TOXICITY = 0.3
+#: The column that tells rows apart within a stage; ids may be null or repeat.
+KEY = "__row_key"
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -42,20 +46,25 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("predicted = 0").select("whole.*")
 
 
+def _keyed(docs: DataFrame, null_id: int) -> DataFrame:
+    """docs with KEY, a number that only one row has, in the order of ids; null ids count as null_id."""
+    wide = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(Decimal(null_id)).cast("decimal(20,0)"))
+    row = F.monotonically_increasing_id().cast("decimal(20,0)")
+    return stash(docs.withColumn(KEY, (wide * F.lit(Decimal(1 << 63)).cast("decimal(19,0)") + row).cast("decimal(38,0)")), "keyed")
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the largest id of equal texts."""
-    lost = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("lost"))
-    kept = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("lost")), "left_anti")
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id", "text"])
+    """Keeps one row of equal texts: the one with the largest id, before null ids, and one of those that repeat it."""
+    docs = _keyed(docs, -(1 << 63) - 1)
+    lost = exact_dedup(docs, id_col=KEY).where("not kept").select(KEY)
+    return docs.join(lost, KEY, "left_anti").drop(KEY)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of linked fingerprints."""
-    found = simhash_components(docs)
-    lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("lost"))
-    return docs.join(lost, F.col("doc_id").eqNullSafe(F.col("lost")), "left_anti")
+    """Keeps one row of each group of linked fingerprints: the one with the smallest id, before null ids."""
+    docs = _keyed(docs, 1 << 63)
+    lost = simhash_components(docs, id_col=KEY).where(F.col(KEY) != F.col("component_id")).select(KEY)
+    return docs.join(lost, KEY, "left_anti").drop(KEY)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
