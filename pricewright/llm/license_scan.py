@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,23 +63,47 @@ Permission is granted to anyone to use this software for any purpose, including
 }
 
 
+# What goes on with `copyright` in a sentence of a licence.
+_PROSE = "holders?|owners?|notices?|laws?|licen[sc]es?|statements?|interests?|and|or|in|is|of|on|to|for|disclaimer|protection|treat(?:y|ies)|rights?|permissions?|infringement|material|status|doctrines|resulting|claimed|covering|protected|applicable|does|may|shall|are|was|were|that|which|with|under|legends?|assignments?|ownership|registrations?|act|terms?|exists?|the[ \\t]+(?:library|software|programs?|works?)"
+_SAID = rf"copyright[ \t]*(?:(?:\(c\)|©)[ \t:]*\S|[:\d]|[ \t]+(?!(?:{_PROSE})(?![\p{{L}}\p{{N}}]))\S)[^\r\n]*"
+_SIGN = rf"©[ \t:]*\S[^\r\n]*|\(c\)[ \t:]*(?:\d[^\r\n]*|[^\r\n]*(?<!\d)(?:19|20)\d\d(?!\d)[^\r\n]*|\S+(?:[ \t]+\S+){{0,4}}(?:(?<![.;:,])|(?<=[ \t](?:inc|ltd|co)\.))[ \t]*$(?=\r?\n[^\p{{L}}\p{{N}}\n]*(?:\n|all rights|copyright)|\z))"
+_RESERVED = r"(?:\s*^[^\p{L}\p{N}\r\n]*all rights reserved[^\p{L}\p{N}\r\n]*$(?=[^\p{L}\p{N}]*[\p{L}\p{N}]))?"
+COPYRIGHT = rf"(?m)^[^\p{{L}}\p{{N}}\r\n(©]*(?:{_SAID}|{_SIGN})$?{_RESERVED}"
+
+
+def shipped() -> list[tuple[str, str]]:
+    """(identifier, text) of the whole texts beside this code, also without what follows their terms, and BSD's points without numbers."""
+    out = []
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        name, text = path.stem, path.read_text(encoding="utf-8")
+        terms, mark, _ = text.partition("END OF TERMS AND CONDITIONS")
+        forms = [text, terms, terms + mark] if mark else [text]
+        forms += [re.sub(r"(?m)^\s*\d\.", "", text)] if name.startswith("BSD-") else []
+        forms += [text.split("For more information")[0], text.replace("https:", "http:").replace(".org>", ".org/>")] if name == "Unlicense" else []
+        out += [(name, form) for form in forms]
+    return out
+
+
 def canonical(text: Column) -> Column:
     """The words of a text in lower case, one space apart, without lines that only state a copyright and with one spelling.
 
     A copyright line begins, after marks and blanks, with `copyright`, `(c)` or the sign, and
-    a holder or year follows; null is empty.
+    a holder or year follows, with or without a blank or colon; a line `All rights reserved` below it
+    goes with it if other words follow. Wrapped sentences that go on with `copyright holders` or
+    the like, and points (c) of a list, are no copyright lines. Null is empty.
     """
     t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(t, r"(?m)^[^\p{L}\p{N}\r\n(©]*(?:copyright[ \t]*(?:\(c\)|©)?|\(c\)|©)[ \t]+[^\r\n]*$", " ")
+    t = F.regexp_replace(t, COPYRIGHT, " ")
     t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     for other, word in SPELLINGS:
         t = F.replace(t, F.lit(f" {other} "), F.lit(f" {word} "))
     return F.trim(t)
 
 
-def known_licenses(spark: SparkSession, texts: Mapping[str, str] = LICENSES) -> DataFrame:
-    """(digest, license): the SHA-256 of each canonical text; of equal ones the first identifier by name."""
-    rows = spark.createDataFrame(sorted(texts.items()), T.StructType([T.StructField("license", T.StringType()), T.StructField("text", T.StringType())]))
+def known_licenses(spark: SparkSession, texts: Mapping[str, str] | None = None) -> DataFrame:
+    """(digest, license): the SHA-256 of each canonical text, by default LICENSES and those shipped; of equal ones the first identifier by name."""
+    texts = sorted([*LICENSES.items(), *shipped()] if texts is None else texts.items())
+    rows = spark.createDataFrame(texts, T.StructType([T.StructField("license", T.StringType()), T.StructField("text", T.StringType())]))
     rows = rows.select("license", F.sha2(F.encode(canonical(F.col("text")), "utf-8"), 256).alias("digest"))
     return rows.groupBy("digest").agg(F.min("license").alias("license"))
 

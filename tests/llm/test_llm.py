@@ -283,3 +283,19 @@ def test_licences(spark, docs, empty):
     assert got == {1: "MIT", 2: "MIT", 3: None, 4: None, 5: None}
     assert license_scan.scan(docs, known).count() == docs.count() and license_scan.scan(empty, known).count() == 0
     assert license_scan.scan(rows, known.limit(0)).where("license is not null").count() == 0
+
+
+def test_whole_licences_and_copyright_lines(spark):
+    """Full texts, re-wrapped too, and every usual form of copyright lines."""
+    import textwrap
+
+    known = license_scan.known_licenses(spark)
+    whole = dict(reversed(license_scan.shipped()))
+    body = whole["BSD-3-Clause"].split("reserved.")[1]
+    mit = license_scan.LICENSES["MIT"]
+    heads = ["(c)2020 Some Name", "\u00a92020 Some Name", "Copyright: Some Name", "Copyright (c) 2020 A B\nAll rights reserved.", "// (c) Some Name\n\n * All Rights Reserved.", "Copyright\u00a9 2020 A", "Copyright(c)2020 A", "Copyright 1999-2020 A, all rights reserved"]
+    rows = [(h, f"{h}\n\n{mit}", "MIT") for h in heads] + [(f"{h} bsd", f"{h}\n{body}", "BSD-3-Clause") for h in heads]
+    rows += [(f"{k} at {w}", "\n".join(x if re.search(r"(?im)^\W*copyright \(c\)|\(c\) year", x) else textwrap.fill(x, w) for x in t.split("\n\n")) if w else t, k) for k, t in whole.items() for w in (0, 60, 97)]
+    rows += [("apache terms", whole["Apache-2.0"].split("   END OF")[0], "Apache-2.0"), ("alone", "Copyright 2020 X\nAll rights reserved.", "All-rights-reserved"), ("more", body + " And more.", None)]
+    got = {r.doc_id: r.license for r in license_scan.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id string, text string"), known).collect()}
+    assert got == {k: want for k, _, want in rows}
