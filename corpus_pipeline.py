@@ -61,7 +61,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of linked fingerprints: the one with the smallest id, before null ids."""
+    """Keeps one row of each group of linked fingerprints: the one with the smallest id, before null ids.
+
+    Links are fingerprints of 3-word shingles within 3 of 64 bits, which most near copies are not; see the README.
+    """
     docs = _keyed(docs, 1 << 63)
     lost = simhash_components(docs, id_col=KEY).where(F.col(KEY) != F.col("component_id")).select(KEY)
     return docs.join(lost, KEY, "left_anti").drop(KEY)
