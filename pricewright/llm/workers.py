@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
 #: Whitespace of the contracts: \x20 and \x09-\x0D, as bytes.split() takes it.
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -48,6 +50,125 @@ def portions(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 22) ->
         at = to
 
 
+def gather(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Where the members of rows of a ragged array lie, one row after the other, from where each row begins and how many it has."""
+    ends = np.cumsum(n)
+    return np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection on 64-bit words that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class WordTable:
+    """Words of at most `longest` bytes and their ids, in arrays of bounded size; full, it forgets all and begins anew.
+
+    Words are told apart by 64 bits of hash. `encode` gives the ids of words, in a row, and how many each has.
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], bits: int = 22, longest: int = 64):
+        self.encode, self.bits, self.longest = encode, bits, longest
+        self.clear()
+
+    def clear(self) -> None:
+        size = 1 << self.bits
+        self.key, self.at, self.n = np.zeros(size, np.uint64), np.zeros(size, np.int32), np.zeros(size, np.int16)
+        self.held, self.used, self.ids = 0, 0, np.zeros(1 << 16, np.uint32)
+
+    def _hash(self, raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """raw has eight more bytes than its words."""
+        eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+        h = size.astype(np.uint64)
+        live, at, left = slice(None), begin, size
+        while len(left):
+            cover = np.where(left >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (np.minimum(left, 7).astype(np.uint64) << np.uint64(3))) - np.uint64(1))
+            h[live] = mix(h[live] * np.uint64(0x9E3779B97F4A7C15) + (eight[at] & cover))
+            more = np.flatnonzero(left > 8)
+            live = more if isinstance(live, slice) else live[more]
+            at, left = at[more] + 8, left[more] - 8
+        return np.maximum(h, np.uint64(1))
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        out, live, s = np.full(len(h), -1, np.int64), np.arange(len(h)), (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(live):
+            k = self.key[s]
+            hit = k == h[live]
+            out[live[hit]] = s[hit]
+            on = (k != 0) & ~hit
+            live, s = live[on], (s[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def _add(self, h: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """Distinct words that are not held."""
+        self.held += len(h)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        live, s = np.arange(len(h)), (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        begin = self.used + np.cumsum(n) - n
+        while len(live):
+            free = self.key[s] == 0
+            self.key[s[free]] = h[live[free]]
+            won = self.key[s] == h[live]
+            self.at[s[won]], self.n[s[won]] = begin[live[won]], n[live[won]]
+            live, s = live[~won], (s[~won] + 1) & ((1 << self.bits) - 1)
+        self.used += len(ids)
+
+    def rows(self, raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words raw[begin : begin + size] in a row, and how many each has. raw has eight more bytes."""
+        if not len(begin):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        brief = np.flatnonzero(size > self.longest)
+        own = size if not len(brief) else np.where(size > self.longest, 0, size)
+        h = self._hash(raw, begin, own)
+        slot = self._find(h)
+        lost = np.flatnonzero(slot < 0)
+        if len(lost):
+            new, first = np.unique(h[lost], return_index=True)
+            if self.held + len(new) > (1 << self.bits) * 5 // 8:
+                self.clear()
+                new, first = np.unique(h, return_index=True)
+                lost = np.arange(len(h))
+                if len(new) > (1 << self.bits) * 5 // 8:
+                    raise ValueError("a portion has more words than the table")
+            data = raw.tobytes()
+            words = [data[b : b + n] for b, n in zip(begin[lost[first]].tolist(), own[lost[first]].tolist(), strict=True)]
+            self._add(new, *self.encode(words))
+            slot[lost] = self._find(h[lost])
+        n, at = self.n[slot].astype(np.int64), self.at[slot]
+        if not len(brief):
+            return self.ids[gather(at, n)], n
+        ids, more = self.encode([raw[begin[i] : begin[i] + size[i]].tobytes() for i in brief.tolist()])
+        pool = np.concatenate([self.ids[: self.used], ids.astype(np.uint32)])
+        n[brief], at[brief] = more, self.used + np.cumsum(more) - more
+        return pool[gather(at, n)], n
+
+
+def raw_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts in a row, followed by eight zeros, and where each text begins, and the last ends."""
+    t = pa.concat_arrays([texts])
+    ends = np.frombuffer(t.buffers()[1], np.int32, len(t) + 1 + t.offset)[t.offset :].astype(np.int64)
+    raw = np.frombuffer(t.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return np.concatenate([raw, np.zeros(8, np.uint8)]), ends - ends[0]
+
+
+def word_places(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of raw_of()'s texts: where words (between ASCII whitespace) begin, how long they are, and how many each text has."""
+    inside = ~_SPACE[raw[:-8]]
+    edge = np.zeros(len(inside) + 1, bool)
+    edge[1:-1] = inside[1:] & ~inside[:-1]
+    edge[at[:-1][np.diff(at) > 0]] = True
+    begins = np.flatnonzero(edge[:-1] & inside)
+    stop = np.zeros(len(inside) + 1, bool)
+    stop[1:-1] = inside[:-1] & ~inside[1:]
+    stop[at[1:][np.diff(at) > 0]] = True
+    ends = np.flatnonzero(stop[1:] & inside) + 1
+    return begins, ends - begins, np.diff(np.searchsorted(begins, at))
+
+
 def fold_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For n nodes and links a-b: the smallest node that each can reach."""
     root = np.arange(n)

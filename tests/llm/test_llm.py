@@ -1,5 +1,6 @@
 import math
 import re
+import itertools
 import zlib
 from collections import Counter
 
@@ -12,8 +13,9 @@ from pricewright.llm import langid, license_scan, lm, quality, toxicity
 from pricewright.llm.embedding_dedup import near_duplicates
 from pricewright.llm.exact_dedup import exact_dedup
 from pricewright.llm.packing import assign, pack
-from pricewright.llm.pieces import decode_pieces, encode_pieces
+from pricewright.llm.pieces import boundary_states, decode_pieces, encode_pieces, max_plus
 from pricewright.llm.simhash import covering_masks, simhash_components
+from pricewright.llm.workers import WordTable
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -126,6 +128,50 @@ def test_pieces_are_the_librarys(docs, empty):
     assert encode_pieces(empty, path).count() == 0
 
 
+def test_giant_texts_are_dealt_in_segments(spark):
+    import random
+
+    import sentencepiece
+
+    path, pick = P.path("piece_bpe_32k.model"), random.Random(3)
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    letters = ["theingaoer", "abcdefghij klmnop qrstuvwxyz  \n", "aab", " -", "日本é🎉a b"]
+    texts = ["".join(pick.choice(pool) for _ in range(pick.randint(180, 900))) for pool in letters for _ in range(8)]
+    rows = [(k if k % 7 else None, t) for k, t in enumerate([*texts, None, "", "small one"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = encode_pieces(docs, path, with_ids=True, giant=200, segment=120).collect()
+    want = sorted((r[0] is None, r[0] or 0, model.encode(r[1] or "")) for r in rows)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.ids) for r in got) == want
+    assert all(r.round_trip and r.n_pieces == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in got)
+
+
+def test_matrices_join_in_any_grouping():
+    pick = np.random.default_rng(5)
+    sizes = [1, 4, 3, 5, 2, 6, 1]
+    m = [np.where(pick.random((a, b)) < 0.7, pick.integers(-9, 1, (a, b)), -np.inf).astype(np.float32) for a, b in zip(sizes, sizes[1:], strict=False)]
+    assert np.array_equal(max_plus(max_plus(m[0], m[1]), m[2]), max_plus(m[0], max_plus(m[1], m[2])))
+    best = max((sum(m[k][s, t] for k, (s, t) in enumerate(zip(path, path[1:], strict=False))), path) for path in itertools.product(*map(range, sizes)))
+    found = boundary_states(m)
+    assert sum(m[k][s, t] for k, (s, t) in enumerate(zip(found, found[1:], strict=False))) == best[0]
+
+
+def test_word_table_forgets_but_stays_right():
+    asked = []
+
+    def encode(words):
+        asked.extend(words)
+        return np.array([len(w) for w in words for _ in range(2)]), np.full(len(words), 2)
+
+    table = WordTable(encode, bits=8, longest=16)
+    for k in range(40):
+        words = [f"{k * 37 + j}".encode() * (1 + j % 9) for j in range(60)] * 2 + [b""]
+        raw = np.frombuffer(b"".join(words) + bytes(8), np.uint8)
+        size = np.array([len(w) for w in words])
+        ids, n = table.rows(raw, np.cumsum(size) - size, size)
+        assert ids.tolist() == [len(w) for w in words for _ in range(2)] and (n == 2).all()
+    assert len(asked) < 40 * 121
+
+
 def test_language(spark, docs, empty):
     en, fr = "the house and the garden of that man is here with them ", "la maison et le jardin de cet homme est ici avec eux pour "
     train = spark.createDataFrame([(i, (en if i % 2 else fr) * 3, "en" if i % 2 else "fr") for i in range(40)], "doc_id long, text string, lang string")
