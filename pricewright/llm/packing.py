@@ -11,33 +11,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewright.llm.workers import fold, portions, slices, worker_cache
+from pricewright.llm.workers import WordTable, portions, raw_of, word_places, worker_cache
 
 WINDOW = 2048
 END_ID = 1
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class Memory:
-    """A bounded dictionary: entries not asked for while `most` new ones came are forgotten."""
-
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
-
-    def missing(self, keys: list) -> list:
-        """The distinct keys that are not held; those that are come to the young half."""
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
-        out = []
-        for k in set(keys).difference(self.young):
-            v = self.old.get(k)
-            if v is None:
-                out.append(k)
-            else:
-                self.young[k] = v
-        return out
-
-
 def _byte_letters() -> dict[int, str]:
     """Byte-level alphabets: printable bytes of Latin-1 stand for themselves, the rest for code points from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -45,10 +25,10 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-def word_encoder(path: str, most: int = 200_000) -> Callable[[list[str | None]], list[bytes]]:
-    """Texts to little-endian 32-bit ids, by a tokenizer whose tokens never cross ASCII whitespace.
+def word_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """Texts to their ids in a row and how many each has, by a tokenizer whose tokens never cross ASCII whitespace.
 
-    Every whitespace-free stretch is encoded once and remembered, in bounded memory. One of
+    Every whitespace-free word is encoded once and remembered, in bounded memory. One of
     letters of the Latin blocks, with or without `.`, `,` or `!` at its end, goes to the
     tokenizer's model as the word and the marks that its rules would make of it; any other goes
     through all of its rules.
@@ -60,72 +40,52 @@ def word_encoder(path: str, most: int = 200_000) -> Callable[[list[str | None]],
         whole = Tokenizer.from_file(path)
         bare = Tokenizer(whole.model)
         bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        cache["tokenizer", path] = (whole, bare, Memory(most), Memory(most))
-    whole, bare, stretches, cores = cache["tokenizer", path]
-    letters = _byte_letters()
-
-    def by_rules(words: list[bytes]) -> list[bytes]:
-        return [np.array(g.ids, "<u4").tobytes() for g in whole.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-
-    def by_model(words: list[bytes], run: int = 256) -> list[bytes]:
-        out = []
-        for k in range(0, len(words), run):
-            own = words[k : k + run]
-            got = bare.encode(" ".join(w.decode() if w.isascii() else w.decode("latin-1").translate(letters) for w in own), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4").tobytes()
-            ends = np.searchsorted(np.array(got.word_ids), np.arange(len(own) + 1)) * 4
-            out += [ids[x:z] for x, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        return out
-
-    def plain(core: bytes) -> bool:
-        t = core.decode()
-        return t.isalpha() and (t.isascii() or max(t) < "\u0250" and "\u0130" not in t)
-
-    def learn(words: list[bytes]) -> None:
-        new = stretches.missing(words)
-        if not new:
-            return
-        found = [w.rstrip(b".,!") for w in new]
-        ends = [w[len(c) :] for w, c in zip(new, found, strict=True)]
-        simple, low, marks = [], [], []
-        for c in cores.missing(found + ends):
-            if c[:1] in (b".", b",", b"!"):
-                marks.append(c)
-            elif plain(c):
-                simple.append(c)
-                low.append(c.lower() if c.isascii() else c.decode().lower().encode())
-            else:
-                cores.young[c] = False
-        held = cores.young
-        held.update(zip(marks, by_rules(marks), strict=True))
-        held.update(zip(simple, by_model(low), strict=True))
-        held[b""] = b""
-        direct = []
-        for w, c, end in zip(new, found, ends, strict=True):
-            ids = held[c]
-            if ids is False:
-                direct.append(w)
-            else:
-                stretches.young[w] = ids + held[end]
-        stretches.young.update(zip(direct, by_rules(direct), strict=True))
-
-    def encode(texts: list[str | None]) -> list[bytes]:
-        raws = [fold(t) if t is None or "<|" not in t else t.encode() for t in texts]  # special tokens keep their case
-        if sum(map(len, raws)) <= 1 << 22:
-            split = [r.split() for r in raws]
-            learn([w for words in split for w in words])
-            return [b"".join(map(stretches.young.__getitem__, words)) for words in split]
-        out = []
-        for raw in raws:
-            parts = []
-            for part in slices(raw):
-                words = part.split()
-                learn(words)
-                parts.append(b"".join(map(stretches.young.__getitem__, words)))
-            out.append(b"".join(parts))
-        return out
-
-    return encode
+        letters = _byte_letters()
+
+        def by_rules(words: list[bytes]) -> list[bytes]:
+            return [np.array(g.ids, "<u4").tobytes() for g in whole.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+
+        def by_model(words: list[bytes], run: int = 256) -> list[bytes]:
+            out = []
+            for k in range(0, len(words), run):
+                own = words[k : k + run]
+                got = bare.encode(" ".join(w.decode() if w.isascii() else w.decode("latin-1").translate(letters) for w in own), add_special_tokens=False)
+                ids = np.array(got.ids, "<u4").tobytes()
+                ends = np.searchsorted(np.array(got.word_ids), np.arange(len(own) + 1)) * 4
+                out += [ids[x:z] for x, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            return out
+
+        def plain(core: bytes) -> bool:
+            t = core.decode()
+            return t.isalpha() and (t.isascii() or max(t) < "\u0250" and "\u0130" not in t)
+
+        def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            cores = [w.rstrip(b".,!") for w in words]
+            simple = [k for k, c in enumerate(cores) if c and plain(c)]
+            rest = [k for k, c in enumerate(cores) if not (c and plain(c))]
+            low = [cores[k].lower() if cores[k].isascii() else cores[k].decode().lower().encode() for k in simple]
+            ends = [words[k][len(cores[k]) :] for k in simple]
+            marks = {m: b"" for m in set(ends)}
+            marks.update(zip([m for m in marks if m], by_rules([m for m in marks if m]), strict=True))
+            out = [b""] * len(words)
+            for k, x, m in zip(simple, by_model(low), ends, strict=True):
+                out[k] = x + marks[m]
+            for k, x in zip(rest, by_rules([words[k] for k in rest]), strict=True):
+                out[k] = x
+            return np.frombuffer(b"".join(out), "<u4"), np.fromiter(map(len, out), np.int64, len(out)) // 4
+
+        cache["tokenizer", path] = WordTable(encode, bits=21)
+    known = cache["tokenizer", path]
+    pc = pa.compute
+
+    def encode_all(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        t = pc.fill_null(texts.cast(pa.string()), "")
+        raw, at = raw_of(pc.if_else(pc.match_substring(t, "<|"), t, pc.ascii_lower(t)))  # special tokens keep their case
+        begin, size, per = word_places(raw, at)
+        ids, n = known.rows(raw, begin, size)
+        return ids, np.bincount(np.repeat(np.arange(len(t)), per), n, minlength=len(t)).astype(np.int64)
+
+    return encode_all
 
 
 def assign(lengths: np.ndarray, window: int = WINDOW, linear: float = 1.0, quadratic: float = 1 / WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -188,7 +148,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     kind = rows.schema["i"].dataType.simpleString()
-    end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(tokenizer)
@@ -196,15 +155,15 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal base, held, size, ids
-            lengths = np.array([len(h) // 4 for h in held], np.int64)
+            lengths = np.array([len(h) for h in held], np.int64)
             pieces = assign(lengths, window)
             d, start, n, s, off = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
-            crc = [zlib.crc32(memoryview(held[a])[4 * b : 4 * (b + c)]) for a, b, c, _, _ in pieces]
+            crc = [zlib.crc32(held[a][b : b + c]) for a, b, c, _, _ in pieces]
             cols = [pa.array(ids, rows_type).take(pa.array(d)), start, n, np.array(crc, np.int64), lengths[d], base + s, off]
             cols = [c if isinstance(c, pa.Array) else pa.array(c) for c in cols]
             names = ["i", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             if with_ids:
-                cols.append(pa.array([np.frombuffer(held[a], "<u4")[b : b + c].astype(np.int32) for a, b, c, _, _ in pieces], pa.list_(pa.int32())))
+                cols.append(pa.array([held[a][b : b + c].astype(np.int32) for a, b, c, _, _ in pieces], pa.list_(pa.int32())))
                 names.append("ids")
             base, held, size, ids = base + int(s.max()) + 1, [], 0, []
             yield pa.RecordBatch.from_arrays(cols, names)
@@ -212,11 +171,17 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         rows_type = pa.int64()
         for b in batches:
             rows_type = b.column(0).type
-            for part in portions(b, "t", 1 << 21):
-                for i, h in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
-                    held.append(h + end)
+            for part in portions(b, "t"):
+                flat, n = encode(part.column(1))
+                stop = np.cumsum(n + 1)
+                with_end = np.full(len(flat) + len(n), END_ID, "<u4")
+                ends = np.zeros(len(with_end), bool)
+                ends[stop - 1] = True
+                with_end[~ends] = flat
+                for i, a, z in zip(part.column(0).to_pylist(), (stop - n - 1).tolist(), stop.tolist(), strict=True):
+                    held.append(with_end[a:z])
                     ids.append(i)
-                    size += len(h) // 4 + 1
+                    size += z - a
                     if size >= batch_tokens or len(held) >= batch_docs:
                         yield from flush()
         if held:
