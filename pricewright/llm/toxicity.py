@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -108,11 +109,22 @@ def features_of(texts: pa.Array, vocab: dict[str, list[int]]) -> list[list[int]]
     return [sorted(f for t, n in c.items() for f, least in zip(vocab[t], LEVELS, strict=True) if f >= 0 and n >= least) for c in counts]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_docs: int = 20_000, most_terms: int = 4096, significance: float = 30.0, lift: float = 1.5) -> BlockMaxIndex:
+def least_ratio(chance: float) -> float:
+    """The likelihood ratio (chi-squared, one degree of freedom) that is exceeded by chance with this probability."""
+    low, high = 0.0, 1500.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if math.erfc(math.sqrt(mid / 2)) > chance else (low, mid)
+    return high
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_docs: int = 20_000, most_terms: int = 4096, chance: float = 1.0, lift: float = 1.5) -> BlockMaxIndex:
     """Index a bounded sample (about `most_docs`) of the labelled rows of docs.
 
     The vector space has the terms that tell the labels apart: words, stems and
-    how often they occur (once, twice, four times), those of at least 5 examples whose ratio is `significance` or more and whose odds differ by e^`lift`, the `most_terms` strongest.
+    how often they occur (once, twice, four times), those of at least 3 examples whose odds differ by e^`lift` and whose
+    likelihood ratio would come by chance to `chance` of all terms together, so the cut follows
+    the number of terms and labels; the `most_terms` strongest.
     """
     known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
@@ -143,7 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     total, positive = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     chosen: list = []
     if 0 < positive < total:
-        seen = rows.mapInArrow(terms, "w string, level int, p long, n long").groupBy("w", "level").agg(F.sum("p").alias("a"), F.sum("n").alias("n")).where("n >= 5")
+        seen = rows.mapInArrow(terms, "w string, level int, p long, n long").groupBy("w", "level").agg(F.sum("p").alias("a"), F.sum("n").alias("n")).where("n >= 3")
+        seen = stash(seen, "terms")
+        significance = least_ratio(chance / max(1, seen.count()))
         a, b = F.col("a").cast("double"), (F.col("n") - F.col("a")).cast("double")
         part = lambda x, of: F.when(x > 0, x * F.log(x * total / (F.col("n") * of))).otherwise(0.0)
         rest = lambda x, of: F.when(of - x > 0, (of - x) * F.log((of - x) * total / ((total - F.col("n")) * of))).otherwise(0.0)
