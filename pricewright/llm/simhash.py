@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewright.llm.workers import fold, fold_components, slices
+from pricewright.llm.workers import WordTable, fold, fold_components, mix, portions, raw_of, slices, word_places
 from pricewright.operators.components import connected_components
 from pricewright.session import stash
 
@@ -155,3 +155,223 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"),
         F.col("low").alias("component_id"),
     )
+
+
+# Similarity of word shingles: wide fingerprints, parts of them covered, and an exact check.
+
+WIDE = 4  # 64-bit words of a wide fingerprint
+PART_BITS = 36
+PARTS = 7
+PART_RADIUS = 4
+FAR = 32  # of 128 bits: over this, a pair is not looked at
+UNIT = 1 << 17  # rows of a table that are compared in one unit, about
+
+
+def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all word shingles, in order, and the text of each. A text of fewer words has one of them all, one without words none."""
+    raw, at = raw_of(pa.compute.ascii_lower(pa.compute.fill_null(texts.cast(pa.string()), "")))
+    begin, size, per = word_places(raw, at)
+    h = WordTable.hashes(raw, begin, size)
+    last = np.cumsum(per)
+    row = np.repeat(np.arange(len(per)), per)
+    left = last[row] - np.arange(len(row))
+    first = np.arange(len(row)) == (last - per)[row]
+    start = np.flatnonzero((left >= shingle) | first)
+    out = np.zeros(len(start), np.uint64)
+    for k in range(shingle):
+        there = k < left[start]
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + np.where(there, h[np.minimum(start + k, max(0, len(h) - 1))], np.uint64(k)) if len(h) else out)
+    return out, row[start]
+
+
+def wide_prints(texts: pa.Array, shingle: int, most: int = 1 << 23) -> np.ndarray:
+    """The SimHash of each text in WIDE words; zeros where it has no word. Texts of over `most` bytes are read in slices."""
+    ones, total = np.zeros((len(texts), WIDE * BITS), np.int64), np.zeros(len(texts), np.int64)
+
+    def add(h: np.ndarray, row: np.ndarray) -> None:
+        total[:] += np.bincount(row, minlength=len(total))
+        for a in range(0, len(h), 1 << 17):
+            own, rows = h[a : a + (1 << 17)], row[a : a + (1 << 17)]
+            starts = np.flatnonzero(np.diff(rows, prepend=-1))
+            for w in range(WIDE):
+                bits = np.unpackbits(mix(own + np.uint64(0xD1B54A32D192ED03 * (w + 1) & (1 << 64) - 1)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                ones[rows[starts], w * BITS : (w + 1) * BITS] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+
+    if len(texts) == 1 and texts[0].is_valid and len(fold(texts[0].as_py())) > most:
+        tail: list[bytes] = []
+        for part in slices(fold(texts[0].as_py())):
+            words = tail + part.split()
+            if len(words) >= shingle:
+                add(*shingle_hashes(pa.array([b" ".join(words).decode()]), shingle))
+                words = words[len(words) - shingle + 1 :]
+            tail = words
+    else:
+        add(*shingle_hashes(texts, shingle))
+    return np.packbits((2 * ones > total[:, None]).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+
+
+def cover(key: np.ndarray, a: np.ndarray, b: np.ndarray, seed: int, far: int = FAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of equal key, in an order that seed gives: each that no earlier centre covers becomes one and covers the rest within `far` of 128 bits.
+
+    Returns the centre and the row of each cover, and all centres, sorted by key. So copies of one
+    text cost a comparison each, however many they are.
+    """
+    order = np.lexsort((mix(a ^ np.uint64(seed)), key))
+    k, x, y = key[order], a[order], b[order]
+    stays = np.ones(len(order), bool)
+    same = np.zeros(len(order) + 1, bool)
+    same[1:-1] = k[1:] == k[:-1]
+    live = np.flatnonzero(same[1:] | same[:-1])
+    centres, rows = [], []
+    while len(live):
+        head = np.flatnonzero(np.diff(k[live].astype(np.int64), prepend=-1))
+        of = np.repeat(live[head], np.diff(np.append(head, len(live))))
+        near = np.bitwise_count(x[live] ^ x[of]).astype(np.int64) + np.bitwise_count(y[live] ^ y[of]) <= far
+        hit = near & (live != of)
+        centres.append(of[hit])
+        rows.append(live[hit])
+        stays[live[hit]] = False
+        live = live[~near & (live != of)]
+        lone = np.ones(len(live) + 1, bool)
+        lone[1:-1] = k[live[1:]] != k[live[:-1]]
+        live = live[~(lone[1:] & lone[:-1])]
+    join = lambda v: order[np.concatenate(v)] if v else np.zeros(0, np.int64)
+    return join(centres), join(rows), order[stays]
+
+
+def part_tables() -> list[tuple[int, int]]:
+    """(part, mask) of every table."""
+    return [(p, m) for p in range(PARTS) for m in covering_masks(PART_RADIUS, PART_BITS)]
+
+
+def _deal(ranges: int):
+    """A mapInArrow body: nodes (f0..f3) to packed rows (u, data): covers at once, and what is left by table and range of keys."""
+    tables = part_tables()
+    weights = np.uint64(1) << np.arange(PART_BITS, dtype=np.uint64)
+
+    def out(f: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.ascontiguousarray(f).view(np.uint8), axis=1, bitorder="little")
+        part = [(bits[:, p * PART_BITS : (p + 1) * PART_BITS].astype(np.uint64) * weights).sum(1, dtype=np.uint64) for p in range(PARTS)]
+        units, data = [], []
+        for t, (p, m) in enumerate(tables):
+            key = (mix((part[p] & np.uint64(m)) + np.uint64(t << 48)) >> np.uint64(32)).astype(np.uint32)
+            c, r, left = cover(key, f[:, 0], f[:, 1], t)
+            if len(c):
+                units.append(-1 - t)
+                data.append(np.stack([f[c, 0], f[r, 0]]).tobytes())
+            cuts = np.searchsorted(key[left], [(-(-(g << 32) // ranges)) for g in range(1, ranges)])
+            for g, own in enumerate(np.split(left, cuts)):
+                if len(own):
+                    units.append(t * ranges + g)
+                    data.append(key[own].tobytes() + f[own, 0].tobytes() + f[own, 1].tobytes())
+            if len(units) >= 64 or t == len(tables) - 1:
+                if units:
+                    yield pa.RecordBatch.from_arrays([pa.array(units, pa.int32()), pa.array(data, pa.binary())], ["u", "data"])
+                units, data = [], []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(np.stack([c.to_numpy().view(np.uint64) for c in b.columns], axis=1))
+            n += b.num_rows
+            if n >= UNIT:
+                yield from out(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            yield from out(np.concatenate(held))
+
+    return run
+
+
+def _compare(ranges: int):
+    """A mapInArrow body: rows (u, data) sorted by u to the distinct covers (src, dst) of each unit."""
+
+    def solve(u: int, data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if u < 0:
+            c, r = np.unique(np.concatenate([np.frombuffer(d, np.int64).reshape(2, -1) for d in data], axis=1), axis=1)
+        else:
+            n = [len(d) // 20 for d in data]
+            key = np.concatenate([np.frombuffer(d, np.uint32, k) for d, k in zip(data, n, strict=True)])
+            a, b = (np.concatenate([np.frombuffer(d, np.uint64, k, k * (4 + 8 * j)) for d, k in zip(data, n, strict=True)]) for j in range(2))
+            x, y, _ = cover(key, a, b, u // ranges)
+            c, r = a[x].view(np.int64), a[y].view(np.int64)
+        if len(c):
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(r)], ["src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for b in batches:
+            for u, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if u != key and held:
+                    yield from solve(key, held)
+                    held = []
+                key = u
+                held.append(d)
+        if held:
+            yield from solve(key, held)
+
+    return run
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(src, dst) of nodes (f0..f3, d: the hash of a node's text) whose texts have at least this Jaccard similarity of shingles.
+
+    Every table covers its buckets; the pairs are then compared by their whole texts.
+    """
+    ranges = max(1, -(-nodes.count() // UNIT))
+    dealt = nodes.select("f0", "f1", "f2", "f3").mapInArrow(_deal(ranges), "u int, data binary")
+    pairs = dealt.repartition("u").sortWithinPartitions("u").mapInArrow(_compare(ranges), "src long, dst long")
+    pairs = stash(pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct(), "pairs")
+    text_of = nodes.select("f0", "d").join(pairs.select(F.explode(F.array("src", "dst")).alias("f0")).distinct(), "f0", "left_semi")
+    texts = docs.select(F.xxhash64("t").alias("d"), "t").join(text_of, "d").groupBy("f0").agg(F.first("t").alias("t"))
+    texts = stash(texts, "texts")
+    both = pairs.join(texts.toDF("src", "a"), "src").join(texts.toDF("dst", "b"), "dst").select("src", "dst", "a", "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in portions(whole, "a"):
+                sets = []
+                for col in (2, 3):
+                    h, row = shingle_hashes(b.column(col), shingle)
+                    sets.append(np.split(h, np.searchsorted(row, np.arange(1, b.num_rows))))
+                keep = []
+                for x, y in zip(*sets, strict=True):
+                    x, y = np.unique(x), np.unique(y)
+                    n = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(n >= similarity * (len(x) + len(y) - n) - 1e-9)
+                yield b.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(check, "src long, dst long")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per input row: id, component_id, the smallest id reachable over links of texts of at least this Jaccard similarity.
+
+    Similarity is that of sets of word shingles, A-Z lower-cased. Fingerprints have 256 bits;
+    seven parts of 36 bits each have the 31 tables of radius 4, so a pair that differs in at most
+    4 bits of some part meets, for certain. Pairs at 0.8 differ in 5.4 bits of a part on average: more than 99 in 100 of them
+    meet, and nearly all at 0.85. What meets
+    within FAR of 128 bits goes to the first centre of its bucket, in another order in each table, and each such pair
+    is checked by its whole texts. Texts of one first word of the fingerprint are one node.
+
+    Null and wordless texts are one node, linked with nothing else. Null ids never become component_id
+    unless a component has no other. Repeated rows each get their row; an empty table gives
+    no rows; other columns are ignored.
+    """
+    rows = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    kind = rows.schema["i"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in portions(whole, "t"):
+                f = wide_prints(b.column(1), shingle).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(f[:, k]) for k in range(WIDE))], ["i", "d", *(f"f{k}" for k in range(WIDE))])
+
+    prints = stash(rows.withColumn("d", F.xxhash64("t")).mapInArrow(run, f"i {kind}, d long, f0 long, f1 long, f2 long, f3 long"), "prints")
+    nodes = prints.groupBy("f0").agg(F.min("i").alias("first"), F.min(F.struct("d", "f1", "f2", "f3")).alias("x"))
+    nodes = stash(nodes.select("f0", "first", "x.*"), "nodes")
+    member = connected_components(similar_links(rows, nodes, shingle, similarity))
+    member = nodes.join(member, nodes.f0 == member.node, "left").select("f0", "first", F.coalesce("component", "f0").alias("c"))
+    lowest = member.groupBy("c").agg(F.min("first").alias("low"))
+    named = stash(member.join(lowest, "c").select("f0", "low"), "named")
+    return prints.join(named, "f0", "left").select(F.col("i").alias(id_col), F.col("low").alias("component_id"))

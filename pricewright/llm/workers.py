@@ -48,6 +48,17 @@ def portions(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 22) ->
         to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    release()
+
+
+def release() -> None:
+    """Give memory that is free within this process back to the system; a reused worker else keeps its peak."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def gather(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -78,8 +89,9 @@ class WordTable:
         self.key, self.at, self.n = np.zeros(size, np.uint64), np.zeros(size, np.int32), np.zeros(size, np.int16)
         self.held, self.used, self.ids = 0, 0, np.zeros(1 << 16, np.uint32)
 
-    def _hash(self, raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """raw has eight more bytes than its words."""
+    @staticmethod
+    def hashes(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """64-bit hashes of words raw[begin : begin + size]. raw has eight more bytes than its words."""
         eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
         h = size.astype(np.uint64)
         live, at, left = slice(None), begin, size
@@ -123,7 +135,7 @@ class WordTable:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         brief = np.flatnonzero(size > self.longest)
         own = size if not len(brief) else np.where(size > self.longest, 0, size)
-        h = self._hash(raw, begin, own)
+        h = self.hashes(raw, begin, own)
         slot = self._find(h)
         lost = np.flatnonzero(slot < 0)
         if len(lost):
