@@ -16,7 +16,7 @@ from pricewright.llm import langid, toxicity
 from pricewright.llm.exact_dedup import exact_dedup
 from pricewright.llm.packing import pack
 from pricewright.llm.queries import tokenizer_path
-from pricewright.llm.simhash import simhash_components
+from pricewright.llm.simhash import similar_components
 from pricewright.session import stash, table
 
 #: Documents whose main language has less of their letters, or is less certain, are rejected.
@@ -61,12 +61,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of linked fingerprints: the one with the smallest id, before null ids.
-
-    Links are fingerprints of 3-word shingles within 3 of 64 bits, which most near copies are not; see the README.
-    """
+    """Keeps one row of each group of linked texts, of 5-word shingles with a Jaccard similarity of 0.8 or more: the one with the smallest id, before null ids."""
     docs = _keyed(docs, 1 << 63)
-    lost = simhash_components(docs, id_col=KEY).where(F.col(KEY) != F.col("component_id")).select(KEY)
+    lost = similar_components(docs, id_col=KEY).where(F.col(KEY) != F.col("component_id")).select(KEY)
     return docs.join(lost, KEY, "left_anti").drop(KEY)
 
 
