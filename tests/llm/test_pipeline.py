@@ -98,7 +98,7 @@ def test_cover_compares_each_row_with_its_first_centre():
 
     key = np.array([1, 1, 1, 2, 2, 3], np.uint32)
     a = np.array([0, 1, 2**40 - 1, 5, 2**50 - 1, 9], np.uint64)
-    c, r, left = cover(key, a, a, 3, far=4)
+    c, r, left = cover(key, a, a, far=4)
     assert sorted(map(sorted, zip(c.tolist(), r.tolist(), strict=True))) == [[0, 1]] and len(left) == 5
 
 
