@@ -1,4 +1,10 @@
-"""Language-model scoring from a log-frequency Bloom filter of n-gram counts."""
+"""Language-model scoring from a log-frequency Bloom filter of n-gram counts.
+
+N-grams are told apart by hashes and dealt by ranges of them. A range of the model has the exact
+counts of its words, and the part of the filter that holds its words and pairs of words. Texts are scored in groups: a
+group asks each range once for all of its distinct n-grams, in sorted runs, and gets their counts
+and levels back in the same order. A small filter is broadcast instead.
+"""
 
 from __future__ import annotations
 
@@ -7,56 +13,26 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewright.llm.workers import portions, words_of
+from pricewright.llm.workers import WordTable, mix, portions, raw_of, release, word_places
 from pricewright.session import stash
 
-END = "\n"  # no word holds whitespace
-BLOCK_BITS = 1 << 16
-CELLS = BLOCK_BITS // 64
 PROBES = 4
-HEAD = 1 << 20
-WORD_BYTES = 64
-TOKEN_BITS = 12  # a token adds two levels at most, each of PROBES bits: no block is much over half full
-RANGE = 64  # blocks that are probed together
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection on 64-bit words that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+LEVEL_BITS = 6  # of the filter for each level of an n-gram: some half of them get set
+RANGE_BYTES = 1 << 24  # of text to a range of hashes
+GROUP_BYTES = 1 << 23  # of text to a group
+END = np.uint64(0x452821E638D01377)  # stands for the end among the hashes of words
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * np.uint64(0x9E3779B97F4A7C15) + mix(b))
-
-
-def word_hash(words: list[str]) -> np.ndarray:
-    """XXH64 with seed 42, as Spark's xxhash64 has it."""
-    return np.fromiter((xxhash.xxh64_intdigest(w.encode(), 42) for w in words), np.uint64, len(words))
-
+    """Of two words' hashes; 48 bits, at the top."""
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) + mix(b)) & ~np.uint64(0xFFFF)
 
-def tagged(h: np.ndarray, word: bool) -> np.ndarray:
-    """Hashes whose last bit tells words from pairs."""
-    return h & ~np.uint64(1) | np.uint64(word)
 
-
-def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
-    return ((h >> np.uint64(16)) % np.uint64(blocks)).astype(np.int64)
-
-
-def _probe(h: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    """Where n-grams are probed at a level: the 64-bit cell within their block, and its bits, all read at once."""
-    g = mix(h + np.uint64(0xA0761D6478BD642F) * (np.atleast_1d(level).astype(np.uint64) + np.uint64(1)))
-    bits = np.zeros(len(g), np.uint64)
-    for k in range(PROBES):
-        bits |= np.uint64(1) << (g >> np.uint64(6 * k) & np.uint64(63))
-    return (g >> np.uint64(32)).astype(np.int64) % CELLS, bits
+def range_of(h: np.ndarray, ranges: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
 def levels_of(n: np.ndarray) -> np.ndarray:
@@ -69,263 +45,238 @@ def counts_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels == 0, 0.0, np.where(levels == 1, 1.0, 2.0 ** (levels - 0.5)))
 
 
+def _probe(h: np.ndarray, level: np.ndarray | int, cells: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Where n-grams are probed at a level: one of 64-bit cells, and its bits, all read at once."""
+    g = mix(h + np.uint64(0xA0761D6478BD642F) * (np.atleast_1d(level).astype(np.uint64) + np.uint64(1)))
+    bits = np.zeros(len(g), np.uint64)
+    for k in range(PROBES):
+        bits |= np.uint64(1) << (g >> np.uint64(6 * k) & np.uint64(63))
+    return ((g >> np.uint64(32)) * np.asarray(cells, np.uint64) >> np.uint64(32)).astype(np.int64), bits
+
+
 @dataclass
 class LogFrequencyFilter:
-    """Bits in blocks; an n-gram of level q has its probes set at the levels 1 to q of its one block."""
+    """Bits by ranges of hashes; an n-gram of level q has its probes set at the levels 1 to q, in its range."""
 
     cells: np.ndarray
-    blocks: int
-    first: int = 0  # the block of the first cells
+    start: np.ndarray  # of each range's cells, and the end
+
+    @staticmethod
+    def of(h: np.ndarray, n: np.ndarray, level_bits: int = LEVEL_BITS) -> np.ndarray:
+        """The cells of a range, as many as its n-grams' levels ask for. Every n-gram is kept."""
+        level = levels_of(n)
+        each = np.repeat(np.arange(len(h)), level)
+        q = np.arange(len(each)) - np.repeat(np.cumsum(level) - level, level) + 1
+        cells = np.zeros(max(1, -(-level_bits * len(each) // 64)), np.uint64)
+        np.bitwise_or.at(cells, *_probe(h[each], q, len(cells)))
+        return cells
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """The largest q such that all probes at levels 1 to q are set."""
-        out = np.zeros(len(h), np.int64)
-        live, base, q = np.arange(len(h)), (block_of(h, self.blocks) - self.first) * CELLS, 0
+        r = range_of(h, len(self.start) - 1)
+        first, size = self.start[r], np.diff(self.start)[r]
+        out, live, q = np.zeros(len(h), np.int64), np.flatnonzero(size > 0), 0
         while len(live):
             q += 1
-            cell, bits = _probe(h[live], q)
-            yes = self.cells[base[live] + cell] & bits == bits
-            live = live[yes]
+            cell, bits = _probe(h[live], q, size[live])
+            live = live[self.cells[first[live] + cell] & bits == bits]
             out[live] = q
         return out
 
 
-def _fill():
-    """A mapInArrow body: rows (b, h, n) sorted by block to (b, cells). Every entry is kept."""
+def pack_runs(words: np.ndarray, pairs: np.ndarray, *more: np.ndarray) -> bytes:
+    """Sorted hashes of words (64 bits) and of pairs (48), by halves, and other columns, as bytes."""
+    cols = [np.array([len(words), len(pairs)], "<u4")]
+    for h, low in ((words, True), (pairs, False)):
+        cols += [(h >> np.uint64(48)).astype("<u2"), (h >> np.uint64(16)).astype("<u4")] + [h.astype("<u2")] * low
+    return b"".join(c.tobytes() for c in (*cols, *more))
 
-    def block_cells(h: np.ndarray, n: np.ndarray) -> bytes:
-        level = levels_of(n)
-        each = np.repeat(np.arange(len(h)), level)
-        q = np.arange(len(each)) - np.repeat(np.cumsum(level) - level, level) + 1
-        cells = np.zeros(CELLS, np.uint64)
-        np.bitwise_or.at(cells, *_probe(h[each], q))
-        return cells.tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-
-        def out(cols: list[np.ndarray]) -> pa.RecordBatch:
-            cuts = np.flatnonzero(np.diff(cols[0])) + 1
-            parts = [np.split(c, cuts) for c in cols]
-            return pa.RecordBatch.from_arrays([pa.array([int(b[0]) for b in parts[0]], pa.int32()), pa.array([block_cells(h.view(np.uint64), n) for _, h, n in zip(*parts, strict=True)], pa.binary())], ["b", "cells"])
-
-        for x in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in x.columns]
-            cols = cols if rest is None else [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
-            last = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
-            if last:
-                yield out([c[:last] for c in cols])
-            rest = [c[last:] for c in cols]
-        if rest is not None and len(rest[0]):
-            yield out(rest)
-
-    return run
-
-
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, list[str], np.ndarray]:
-    """Codes of all tokens in order (the end is the last code), the row of each, where each is a row's first, the words twice, and their hashes with the end's."""
-    codes, row, words = words_of(texts)
-    n, v = len(texts), len(words)
-    lens = np.bincount(row, minlength=n)
-    code = np.full(len(codes) + n, v, np.int64)
-    code[np.arange(len(codes)) + row] = codes
-    of = np.repeat(np.arange(n), lens + 1)
-    first = np.diff(of, prepend=-1) != 0
-    names = words.to_pylist()
-    return code, of, first, words, names, np.append(word_hash(names), word_hash([END]))
-
-
-def _pairs(code: np.ndarray, first: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The hash of each token with the one before; the end stands before a text."""
-    before = np.roll(code, 1)
-    before[first] = len(h) - 1
-    return pair_hash(h[before], h[code])
+
+def unpack_runs(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """The words, the pairs, and where the other columns begin."""
+    n, m = np.frombuffer(data, "<u4", 2).tolist()
+    at, out = 8, []
+    for size, low in ((n, True), (m, False)):
+        h = np.frombuffer(data, "<u2", size, at).astype(np.uint64) << np.uint64(48) | np.frombuffer(data, "<u4", size, at + 2 * size).astype(np.uint64) << np.uint64(16)
+        at += 6 * size
+        if low:
+            h |= np.frombuffer(data, "<u2", size, at).astype(np.uint64)
+            at += 2 * size
+        out.append(h)
+    return out[0], out[1], at
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token in order, ends included: the hash of its word, that of the pair with the one before (the end, before a text), and its text."""
+    raw, at = raw_of(pa.compute.ascii_lower(pa.compute.fill_null(texts.cast(pa.string()), "")))
+    begin, size, per = word_places(raw, at)
+    n = len(per)
+    h = np.full(len(begin) + n, END, np.uint64)
+    h[np.arange(len(begin)) + np.repeat(np.arange(n), per)] = np.maximum(WordTable.hashes(raw, begin, size), np.uint64(1))
+    before = np.concatenate([[END], h[:-1]]).astype(np.uint64)  # before a text is the last one's end
+    return h, pair_hash(before, h), np.repeat(np.arange(n), per + 1)
 
 
 @dataclass
 class NgramModel:
-    """total and distinct tokens of training, exact counts of the frequent words, and the filter: whole, or as rows (b, cells)."""
+    """total and distinct tokens of training, the table of ranges (r, words, cells), and the filter if it is small."""
 
     tokens: int
     distinct: int
-    head: dict[str, int]
-    filter: LogFrequencyFilter | None
-    blocks: int
-    parts: DataFrame | None = None
+    ranges: int
+    parts: DataFrame | None
+    filter: LogFrequencyFilter | None = None
     trust: float = 10.0  # a context seen this often weighs its own counts as much as the words' own
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = 600_000_000) -> tuple[NgramModel, DataFrame]:
-    """The model, and (w, n): the exact count of every token of docs.
+def _slices(h: np.ndarray, ranges: int) -> np.ndarray:
+    """Where the ranges of sorted hashes begin and end."""
+    return np.searchsorted(range_of(h, ranges), np.arange(ranges + 1))
+
 
-    All words and pairs of words are counted and kept. The filter takes twelve bits a training
-    token. One of `most_bits` at most is gathered and broadcast; a larger one stays a table of
-    blocks, which scores probe by a shuffle. `head` has the words of 64 bytes at most whose count is at least a
-    2^-20 share of all tokens, so there are at most 2^20.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = 1 << 26, level_bits: int = LEVEL_BITS) -> NgramModel:
+    """The model of all words and pairs of words of docs; the end is a word, and stands before a text too.
+
+    There is a range of hashes to 16 MB of text, so none grows with the corpus. The filter is gathered
+    and broadcast if it has `most_bits` at most (8 MB), and stays a table of ranges else; both give the same scores.
+    Null and empty texts have an end only. Ids do not matter; without rows the model knows nothing.
     """
     rows = docs.select(F.col(text_col).alias("t"))
+    ranges = max(1, -(-int(rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]) // RANGE_BYTES))
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in portions(whole, "t", 1 << 23):
-                code, _, names = words_of(b.column(0))
-                n = np.bincount(code, minlength=len(names))
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([names.cast(pa.string()), pa.array([END])]), pa.array(np.append(n, b.num_rows).astype(np.int64))], ["w", "n"])
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in portions(whole, "t", 1 << 23):
-                code, _, first, _, _, h = _tokens(b.column(0))
-                p, n = np.unique(tagged(_pairs(code, first, h), False), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
-
-    counts = stash(rows.mapInArrow(words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    blocks = max(1, -(-TOKEN_BITS * total // BLOCK_BITS))
-    head = {r.w: r.n for r in counts.where(f"n * {HEAD}L >= {total} and octet_length(w) <= {WORD_BYTES}").collect()}
-    block = F.expr(f"cast(pmod(shiftrightunsigned(h, 16), {blocks}L) as int)")
-    grams = rows.mapInArrow(pairs, "h long, n long")
-    single = counts.select(F.xxhash64("w").bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(1)).alias("h"), "n")
-    by_block = single.unionAll(grams).repartition(block).groupBy(block.alias("b"), "h").agg(F.sum("n").alias("n"))
-    parts = by_block.sortWithinPartitions("b").mapInArrow(_fill(), "b int, cells binary")
-    if blocks * BLOCK_BITS > max(most_bits, BLOCK_BITS):
-        return NgramModel(total, distinct, head, None, blocks, stash(parts, "filter")), counts
-    cells = np.zeros(blocks * CELLS, np.uint64)
-    for r in parts.collect():
-        cells[r.b * CELLS : (r.b + 1) * CELLS] = np.frombuffer(r.cells, np.uint64)
-    return NgramModel(total, distinct, head, LogFrequencyFilter(cells, blocks), blocks), counts
-
-
-def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Runs of rows of one group g, the first column."""
+                h, p, _ = tokens(b.column(0))
+                w, n = np.unique(h, return_counts=True)
+                p, m = np.unique(p, return_counts=True)
+                a, z = _slices(w, ranges), _slices(p, ranges)
+                for r in range(ranges):
+                    own, two = slice(a[r], a[r + 1]), slice(z[r], z[r + 1])
+                    data = pack_runs(w[own], p[two], n[own].astype("<u4"), m[two].astype("<u4"))
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([data])], ["r", "data"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def total(h: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            own, back = np.unique(np.concatenate(h), return_inverse=True)
+            return own, np.bincount(back, np.concatenate(n), minlength=len(own)).astype(np.int64)
+
+        for r, data in _by_first(batches):
+            got = [unpack_runs(d) for d in data]
+            w, n = total([g[0] for g in got], [np.frombuffer(d, "<u4", len(g[0]), g[2]) for d, g in zip(data, got, strict=True)])
+            p, m = total([g[1] for g in got], [np.frombuffer(d, "<u4", len(g[1]), g[2] + 4 * len(g[0])) for d, g in zip(data, got, strict=True)])
+            cells = LogFrequencyFilter.of(np.concatenate([w, tagged(p)]), np.concatenate([n, m]), level_bits) if len(w) + len(p) else np.zeros(0, np.uint64)
+            cols = [pa.array([r], pa.int32()), pa.array([int(n.sum())]), pa.array([len(w)]), pa.array([len(cells)]), pa.array([w.tobytes() + n.tobytes()]), pa.array([cells.tobytes()])]
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["r", "tokens", "distinct", "size", "words", "cells"])
+
+    dealt = rows.mapInArrow(count, "r int, data binary").repartition("r").sortWithinPartitions("r")
+    parts = stash(dealt.mapInArrow(merge, "r int, tokens long, distinct long, size long, words binary, cells binary"), "model")
+    total, distinct, size = parts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "distinct", "size"))).first()
+    model = NgramModel(total, distinct, ranges, parts)
+    if 64 * size <= most_bits:
+        held = {r.r: np.frombuffer(r.cells, np.uint64) for r in parts.select("r", "cells").collect()}
+        each = [held.get(r, np.zeros(0, np.uint64)) for r in range(ranges)]
+        model.filter = LogFrequencyFilter(np.concatenate(each), np.concatenate([[0], np.cumsum([len(c) for c in each])]))
+    return model
+
+
+def tagged(pairs: np.ndarray) -> np.ndarray:
+    """Pairs' hashes in the filter: their free bits tell them from words'."""
+    return pairs | np.uint64(0x2D5B)
+
+
+def _by_first(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """Of rows (r, data) sorted by r: each r and its data."""
+    key, held = None, []
     for b in batches:
-        g = b.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
-        yield from ((int(g[a]), b.slice(a, z - a)) for a, z in zip(cuts, cuts[1:], strict=False) if z > a)
-
-
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A mapInArrow body: rows (i, t) to (g, i, t), where a group g has a portion of texts."""
-    key = TaskContext.get().partitionId() << 33
-    for whole in batches:
-        for b in portions(whole, "t"):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, key)), b.column(0), b.column(1)], ["g", "i", "t"])
-            key += b.num_rows
+        for r, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if r != key and held:
+                yield key, held
+                held = []
+            key = r
+            held.append(d)
+    if held:
+        yield key, held
 
 
-def _probed(grouped: DataFrame, model: NgramModel) -> DataFrame:
-    """(g, h, q): the levels of all n-grams of each group that have one, each group's distinct n-grams dealt to the filter's blocks."""
-    blocks = model.blocks
-
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, b in _by_group(batches):
-            code, _, first, _, _, h = _tokens(b.column(2))
-            all_h = np.unique(np.concatenate([tagged(h, True), tagged(_pairs(code, first, h), False)]))
-            r = block_of(all_h, blocks) // RANGE
-            yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(np.full(len(r), g)), pa.array(all_h.view(np.int64))], ["r", "g", "h"])
-
-    def look(asked: pa.Table, cells: pa.Table) -> pa.Table:
-        own, g, h = np.zeros(RANGE * CELLS, np.uint64), asked.column("g").to_numpy(), asked.column("h").to_numpy()
-        low = asked.column("r")[0].as_py() * RANGE if len(h) else 0
-        for b, c in zip(cells.column("b").to_pylist(), cells.column("cells").to_pylist(), strict=True):
-            if len(h):
-                own[(b - low) * CELLS : (b - low + 1) * CELLS] = np.frombuffer(c, np.uint64)
-        q = LogFrequencyFilter(own, blocks, low).levels(h.view(np.uint64))
-        return pa.table({"g": g[q > 0], "h": h[q > 0], "q": q[q > 0].astype(np.int8)})
-
-    asked = grouped.mapInArrow(probes, "r int, g long, h long").groupBy("r")
-    cells = model.parts.select(F.floor(F.col("b") / RANGE).cast("int").alias("r"), "b", "cells").groupBy("r")
-    return asked.cogroup(cells).applyInArrow(look, "g long, h long, q byte")
-
-
-def _lookup(found: pa.Table) -> Callable[[np.ndarray], np.ndarray]:
-    """Hashes to levels, by the rows (g, h, q) of a group."""
-    h, q = found.column("h").to_numpy().view(np.uint64), found.column("q").to_numpy().astype(np.int64)
-    order = np.argsort(h)
-    h, q = np.append(h[order], np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(q[order], 0)
-
-    def levels(x: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(h, x)
-        return np.where(h[at] == x, q[at], 0)
-
-    return levels
-
-
-def score(docs: DataFrame, model: NgramModel, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_tokens, n_known, train_tokens, base_score, score.
 
-    base_score has add-one unigram probabilities from exact counts: frequent words by the model's
-    bounded table, the others in a join on the word after each document's are pre-aggregated.
-    score has bigram probabilities from the filter's levels, drawn to the words' own
-    probabilities with the weight model.trust; both sum log10 over words and the end.
+    base_score has add-one unigram probabilities from exact counts. score has bigram probabilities
+    from the filter's levels, drawn to the words' own probabilities with the weight model.trust; both
+    sum log10 over words and the end. Rows are dealt by a hash of id and text to groups of some 8 MB.
 
     Null texts count as empty: the end alone. Ids may be null or repeat; an empty table gives no rows;
     without training rows every probability of base_score is one; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     kind = rows.schema["i"].dataType.simpleString()
+    size = int(rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0])
+    groups, ranges = max(1, -(-size // GROUP_BYTES)), model.ranges
     shared = docs.sparkSession.sparkContext.broadcast(replace(model, parts=None))
     below = model.tokens + 1 * (model.distinct + 1)
-
-    def scored(b: pa.RecordBatch, key: int, levels: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        n = b.num_rows
-        code, of, first, words, names, h = _tokens(b.column(1))
-        exact = np.fromiter((own.head.get(w, -1) for w in [*names, END]), np.int64, len(names) + 1)
-        c = exact[code]
-        is_head = c >= 0
-        base = np.bincount(of, np.where(is_head, np.log10((np.maximum(c, 0) + 1) / below), 0.0), minlength=n)
-        known = np.bincount(of[c > 0], minlength=n)
-        one = counts_of(levels(tagged(h, True)))
-        p1 = (one + 1) / below
-        seen = one[code] > 0
-        two = np.zeros(len(code))
-        two[seen] = counts_of(levels(tagged(_pairs(code, first, h)[seen], False)))
-        before = np.roll(code, 1)
-        before[first] = len(names)
-        context = one[before]
-        two = np.minimum(two, np.minimum(context, one[code]))
-        p = (two + own.trust * p1[code]) / (context + own.trust)
-        total = np.bincount(of, np.log10(np.minimum(p, 1.0)), minlength=n)
-        k = key + np.arange(n)
-        docs_out = [k, None, np.zeros(n, np.int64), base, known, np.bincount(of, minlength=n), total]
-        pair, times = np.unique(of[~is_head].astype(np.int64) << 32 | code[~is_head], return_counts=True)
-        d, w = pair >> 32, pair & 0xFFFFFFFF
-        zero = np.zeros(len(pair))
-        tail = [k[d], pa.concat_arrays([words.cast(pa.string()), pa.array([END])]).take(pa.array(w)), times, zero, zero.astype(np.int64), zero.astype(np.int64), zero]
-        for part, ids in ((docs_out, b.column(0)), (tail, pa.nulls(len(pair), b.column(0).type))):
-            m = len(part[0])
-            text = pa.array([f"{END}{x}" for x in part[0]], pa.string()) if part[1] is None else part[1].cast(pa.string())
-            cols = [pa.array(part[0]), pa.array([part[1] is None] * m, pa.bool_()), ids, text, *(pa.array(x.astype(t)) for x, t in zip(part[2:], (np.int64, float, np.int64, np.int64, float), strict=True))]
-            yield pa.RecordBatch.from_arrays(cols, ["k", "own", "i", "w", "f", "base", "known", "tokens", "score"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = shared.value.filter.levels
-        key = TaskContext.get().partitionId() << 33
-        for whole in batches:
-            for b in portions(whole, "t"):
-                yield from scored(b, key, levels)
-                key += b.num_rows
-
-    def run_group(texts: pa.Table, found: pa.Table) -> pa.Table:
+    small = model.filter is not None
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64("i", "t"), F.lit(groups)).cast("int")).repartition("g")
+
+    def asked(w: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(w), np.zeros(0, np.uint64) if small else np.unique(p)
+
+    def ask(key: tuple, texts: pa.Table) -> pa.Table:
+        h, p, _ = tokens(texts.column("t").combine_chunks())
+        w, p = asked(h, p)
+        a, z = _slices(w, ranges), _slices(p, ranges)
+        data = [pack_runs(w[a[r] : a[r + 1]], p[z[r] : z[r + 1]]) for r in range(ranges)]
+        release()
+        return pa.table({"r": pa.array(range(ranges), pa.int32()), "g": pa.array([key[0].as_py()] * ranges, pa.int32()), "data": pa.array(data, pa.binary())})
+
+    def look(rows: pa.Table, part: pa.Table) -> pa.Table:
+        known, n, own = np.zeros(0, np.uint64), np.zeros(0, np.int64), None
+        if part.num_rows:
+            data = part.column("words")[0].as_py()
+            known, n = np.frombuffer(data, np.uint64, len(data) // 16), np.frombuffer(data, np.int64, len(data) // 16, len(data) // 2)
+            cells = np.frombuffer(part.column("cells")[0].as_py(), np.uint64)
+            r = part.column("r")[0].as_py()
+            own = LogFrequencyFilter(cells, np.where(np.arange(ranges + 1) > r, len(cells), 0))
+        known, n = np.append(known, np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(n, 0)
         out = []
-        key, levels = texts.column("g")[0].as_py() if texts.num_rows else 0, _lookup(found)
-        for b in texts.select(["i", "t"]).to_batches():
-            out += scored(b, key, levels)
-            key += b.num_rows
-        return pa.Table.from_batches(out) if out else pa.schema([("k", pa.int64()), ("own", pa.bool_()), ("i", texts.schema.field("i").type), ("w", pa.string()), ("f", pa.int64()), ("base", pa.float64()), ("known", pa.int64()), ("tokens", pa.int64()), ("score", pa.float64())]).empty_table()
-
-    row = f"k long, own boolean, i {kind}, w string, f long, base double, known long, tokens long, score double"
-    if model.filter is not None:
-        parts = rows.mapInArrow(run, row)
-    else:
-        grouped = stash(rows.mapInArrow(_grouped, f"g long, i {kind}, t string"), "grouped")
-        parts = grouped.groupBy("g").cogroup(_probed(grouped, model).groupBy("g")).applyInArrow(run_group, row)
-    c = F.coalesce("n", F.lit(0))
-    joined = parts.join(counts, "w", "left").select(
-        "k", "i", "own", "tokens", "score",
-        (F.col("base") + F.when(F.col("own"), 0.0).otherwise(F.col("f") * F.log10((c + 1) / F.lit(float(below))))).alias("base"),
-        (F.col("known") + F.when(~F.col("own") & (c > 0), F.col("f")).otherwise(0)).alias("known"),
-    )
-    by = joined.groupBy("k").agg(F.max(F.struct("own", "i")).alias("x"), F.sum("tokens").alias("tokens"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
-    return by.select(F.col("x.i").alias(id_col), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+        for d in rows.column("data").to_pylist():
+            w, p, _ = unpack_runs(d)
+            at = np.searchsorted(known, w)
+            counts = np.where(known[at] == w, n[at], 0)
+            none = np.zeros(0, np.uint8) if small else np.zeros(len(w) + len(p), np.uint8)
+            levels = none if small or own is None else own.levels(np.concatenate([w, tagged(p)])).astype(np.uint8)
+            out.append(np.array([len(w)], "<u4").tobytes() + counts.astype("<u8").tobytes() + levels.tobytes())
+        return pa.table({"g": rows.column("g"), "r": rows.column("r"), "data": pa.array(out, pa.binary())})
+
+    def scored(texts: pa.Table, found: pa.Table) -> pa.Table:
+        model = shared.value
+        n = texts.num_rows
+        h, p, of = tokens(texts.column("t").combine_chunks())
+        w, code = np.unique(h, return_inverse=True)
+        counts, one, two_levels = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.uint8)]
+        for _, d in sorted(zip(found.column("r").to_pylist(), found.column("data").to_pylist(), strict=True)):
+            m = int(np.frombuffer(d, "<u4", 1)[0])
+            counts.append(np.frombuffer(d, "<u8", m, 4).astype(np.int64))
+            levels = np.frombuffer(d, np.uint8, -1, 4 + 8 * m)
+            one.append(levels[:m])
+            two_levels.append(levels[m:])
+        c = np.concatenate(counts)
+        if small:
+            one_n, two_n = counts_of(model.filter.levels(w)), counts_of(model.filter.levels(tagged(p)))
+        else:
+            back = np.unique(p, return_inverse=True)[1]
+            one_n, two_n = counts_of(np.concatenate(one).astype(np.int64)), counts_of(np.concatenate(two_levels).astype(np.int64))[back]
+        base = np.bincount(of, np.log10((c + 1) / below)[code], minlength=n)
+        known = np.bincount(of, (c > 0)[code], minlength=n).astype(np.int64)
+        own = one_n[code]
+        context = one_n[np.concatenate([[np.searchsorted(w, END)], code[:-1]])] if len(code) else own
+        two_n = np.minimum(two_n, np.minimum(context, own))
+        prob = (two_n + model.trust * (own + 1) / below) / (context + model.trust)
+        total = np.bincount(of, np.log10(np.minimum(prob, 1.0)), minlength=n)
+        release()
+        return pa.table({"i": texts.column("i"), "n_tokens": np.bincount(of, minlength=n).astype(np.int64), "n_known": known, "base_score": base, "score": total})
+
+    asks = dealt.groupBy("g").applyInArrow(ask, "r int, g int, data binary")
+    answers = asks.groupBy("r").cogroup(model.parts.groupBy("r")).applyInArrow(look, "g int, r int, data binary")
+    out = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(scored, f"i {kind}, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.col("i").alias(id_col), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

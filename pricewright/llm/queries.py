@@ -13,7 +13,7 @@ from pricewright.llm.license_scan import known_licenses, scan
 from pricewright.llm.packing import pack
 from pricewright.llm.pieces import encode_pieces
 from pricewright.llm.simhash import simhash_components
-from pricewright.llm.workers import crc_rest
+from pricewright.llm.workers import held_out
 from pricewright.session import table
 
 
@@ -26,8 +26,8 @@ def tokenizer_path(name: str) -> str:
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = langid.train(docs.where(crc_rest("doc_id", 3) != 1))
-    return langid.identify(docs, model).select("doc_id", (crc_rest("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    model = langid.train(docs.where(~held_out("doc_id", 3, 1)))
+    return langid.identify(docs, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +40,8 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    index = toxicity.fit(docs.where(crc_rest("doc_id", 4) != 2), table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, index).select("doc_id", (crc_rest("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+    index = toxicity.fit(docs.where(~held_out("doc_id", 4, 2)), table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, index).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,15 +58,14 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality.fit(docs.where(crc_rest("doc_id", 3) != 1), table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model).select("doc_id", (crc_rest("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    model = quality.fit(docs.where(~held_out("doc_id", 3, 1)), table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model, counts = lm.train(docs.where(crc_rest("doc_id", 7) != 2))
-    out = lm.score(docs, model, counts)
-    return out.select("doc_id", (crc_rest("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    out = lm.score(docs, lm.train(docs.where(~held_out("doc_id", 7, 2))))
+    return out.select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,11 +214,11 @@ def words_of(texts: pa.Array, unicode_space: bool = False) -> tuple[np.ndarray,
     return coded.indices.to_numpy(zero_copy_only=False), row[full.to_numpy(zero_copy_only=False)], coded.dictionary
 
 
-def crc_rest(id_col: str, parts: int):
-    """crc32(id as text) mod parts, as a column."""
+def held_out(id_col: str, parts: int, rest: int):
+    """Whether crc32(id as text) mod parts is rest, as a column; not for null ids, which are learned from."""
     from pyspark.sql import functions as F
 
-    return F.crc32(F.encode(F.col(id_col).cast("string"), "utf-8")) % parts
+    return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "utf-8")) % parts == rest, F.lit(False))
 
 
 def bounded_sample(df, key: str, bound: int):

@@ -15,7 +15,7 @@ from pricewright.llm.exact_dedup import exact_dedup
 from pricewright.llm.packing import assign, pack
 from pricewright.llm.pieces import boundary_states, decode_pieces, encode_pieces, max_plus
 from pricewright.llm.simhash import covering_masks, simhash_components
-from pricewright.llm.workers import WordTable
+from pricewright.llm.workers import WordTable, mix
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -248,60 +248,71 @@ def test_forward_backward_sums_over_all_labellings():
     assert p == pytest.approx(want / z) and pair.sum() == pytest.approx(3)
 
 
+def brute_lm(train, docs, trust=10.0):
+    """Scores of exact levels, by dictionaries."""
+    one, two = Counter(), Counter()
+    for t in train:
+        w = ["\n", *words(t), "\n"]
+        one.update(w[1:])
+        two.update(zip(w, w[1:], strict=False))
+    below = sum(one.values()) + len(one) + 1
+    level = lambda n: 0.0 if n == 0 else 1.0 if n == 1 else 2.0 ** (math.floor(math.log2(n)) + 0.5)
+
+    def p(a, b):
+        both = min(level(two[a, b]), level(one[a]), level(one[b]))
+        return min(1.0, (both + trust * (level(one[b]) + 1) / below) / (level(one[a]) + trust))
+
+    return one, p, [sum(math.log10(p(a, b)) for a, b in zip(["\n", *words(t)], [*words(t), "\n"], strict=True)) for t in docs]
+
+
 def test_lm_base_is_exact(docs, empty):
     train = docs.where("doc_id is null or doc_id % 2 = 0")
-    model, counts = lm.train(train)
+    model = lm.train(train)
     c = Counter(w for r in train.collect() for w in [*words(r.text), "\n"])
     n, v = sum(c.values()), len(c)
-    got = lm.score(docs, model, counts).collect()
+    got = lm.score(docs, model).collect()
     want = Counter((r.doc_id, len(words(r.text)) + 1, sum(c[w] > 0 for w in [*words(r.text), "\n"]), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in [*words(r.text), "\n"]), 6)) for r in docs.collect())
     assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
     assert all(r.train_tokens == n and r.score <= 0 for r in got)
-    assert lm.score(empty, model, counts).count() == 0
-    none, nothing = lm.train(empty)
-    assert {r.base_score for r in lm.score(docs, none, nothing).collect()} == {0.0}
-
-
-def test_lm_filter_grows_beyond_what_is_broadcast(spark, empty):
-    """Every word and pair is kept, also where the filter is larger than most_bits, and both ways score alike."""
-    rng = np.random.default_rng(8)
-    rows = [(i if i % 7 else None, " ".join(f"w{x}" for x in rng.integers(0, 3000, 300))) for i in range(120)] + [(500, None), (501, "unseen words here")]
-    rows = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
-    train = rows.where("doc_id is null or doc_id < 200")
-    whole, counts = lm.train(train)
-    cut, _ = lm.train(train, most_bits=lm.BLOCK_BITS)
-    assert whole.filter is not None and whole.blocks > 1 and cut.filter is None and cut.blocks == whole.blocks
-    line = lambda m: sorted((str(r.doc_id), r.n_tokens, round(r.base_score, 9), round(r.score, 9)) for r in lm.score(rows, m, counts).collect())
-    assert line(cut) == line(whole) and lm.score(empty, cut, counts).count() == 0
-    pairs, words_ = Counter(), Counter()
-    for r in train.collect():
-        w = [lm.END, *words(r.text), lm.END]
-        pairs.update(zip(w, w[1:], strict=False))
-        words_.update(w[1:])
-    names = list(words_)
-    assert (whole.filter.levels(lm.tagged(lm.word_hash(names), True)) >= lm.levels_of(np.array([words_[w] for w in names]))).all()
-    h = lm.tagged(lm.pair_hash(lm.word_hash([a for a, _ in pairs]), lm.word_hash([b for _, b in pairs])), False)
-    assert (whole.filter.levels(h) >= lm.levels_of(np.array(list(pairs.values())))).all()
-
-
-def test_filter_keeps_a_block_that_is_over_half_full():
-    import pyarrow as pa
-
-    h = lm.tagged(np.random.default_rng(9).integers(0, 1 << 63, 12_000).astype(np.uint64), False)
-    own = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(h), np.int32)), pa.array(h.view(np.int64)), pa.array(np.full(len(h), 2))], ["b", "h", "n"])
-    cells = np.frombuffer(next(iter(lm._fill()(iter([own])))).column(1)[0].as_py(), np.uint64)
-    assert (lm.LogFrequencyFilter(cells, 1).levels(h) >= 2).all()
+    assert lm.score(empty, model).count() == 0
+    assert {r.base_score for r in lm.score(docs, lm.train(empty)).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("most_bits", [0, 1 << 30])
+def test_lm_score_is_brute_force(spark, most_bits):
+    pick = np.random.default_rng(8)
+    texts = [" ".join(f"W{x}" for x in (pick.zipf(1.4, pick.integers(0, 60)) % 500)) for _ in range(300)] + ["x" * 9000 + " a b", "\t", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("i", F.lit(1)).withColumn("g", F.lit("x"))
+    model = lm.train(rows.where("doc_id % 3 > 0"), most_bits=most_bits, level_bits=200)
+    assert (model.filter is None) == (most_bits == 0)
+    _, p, want = brute_lm([t for k, t in enumerate(texts) if k % 3], texts)
+    got = {r.doc_id: r.score for r in lm.score(rows, model).collect()}
+    assert [got[k] for k in range(len(texts))] == pytest.approx(want)
+
+
+def test_lm_probabilities_sum_to_about_one(spark):
+    pick = np.random.default_rng(9)
+    texts = [" ".join(f"w{x}" for x in (pick.zipf(1.5, 40) % 200)) for _ in range(400)]
+    one, p, _ = brute_lm(texts, [])
+    for context in ["w1", "w2", "w7", "\n"]:
+        assert 0.7 < sum(p(context, w) for w in one) < 1.3
 
 
 def test_filter_never_undercounts():
-    rng = np.random.default_rng(6)
-    h = lm.tagged(rng.integers(0, 1 << 63, 1000).astype(np.uint64), False)
-    n = rng.integers(1, 500, 1000)
-    import pyarrow as pa
-
-    own = pa.RecordBatch.from_arrays([pa.array(np.zeros(1000, np.int32)), pa.array(h.view(np.int64)), pa.array(n)], ["b", "h", "n"])
-    cells = np.frombuffer(next(iter(lm._fill()(iter([own])))).column(1)[0].as_py(), np.uint64)
-    assert (lm.LogFrequencyFilter(cells, 1).levels(h)[n > 100] >= lm.levels_of(n)[n > 100]).all()
+    pick = np.random.default_rng(6)
+    h = np.unique(pick.integers(1, 1 << 63, 5000, dtype=np.uint64)) * np.uint64(2)
+    n = pick.zipf(1.6, len(h)).astype(np.int64) % 100_000 + 1
+    cells = lm.LogFrequencyFilter.of(h, n)
+    own = lm.LogFrequencyFilter(cells, np.array([0, len(cells)]))
+    assert (own.levels(h) >= lm.levels_of(n)).all()
+    other = mix(np.arange(1, 20_001, dtype=np.uint64))
+    assert (own.levels(other) > 0).mean() < 0.15
+
+
+def test_runs_pack_and_unpack():
+    h = np.sort(mix(np.arange(1, 1000, dtype=np.uint64)))
+    w, p, at = lm.unpack_runs(lm.pack_runs(h, h & ~np.uint64(0xFFFF), np.arange(3, dtype="<u4")))
+    assert (w == h).all() and (p == h & ~np.uint64(0xFFFF)).all() and at == 8 + 999 * 14
 
 
 @pytest.mark.parametrize("block", [3, 2048])
