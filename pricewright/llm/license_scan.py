@@ -94,10 +94,11 @@ def canonical(text: Column) -> Column:
     """
     t = F.lower(F.coalesce(text, F.lit("")))
     t = F.regexp_replace(t, COPYRIGHT, " ")
-    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    # two blanks between words, so that neighbours do not share one and all of a run are found
+    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", "  ")), F.lit(" "))
     for other, word in SPELLINGS:
-        t = F.replace(t, F.lit(f" {other} "), F.lit(f" {word} "))
-    return F.trim(t)
+        t = F.replace(t, F.lit(f" {other.replace(' ', '  ')} "), F.lit(f" {word.replace(' ', '  ')} "))
+    return F.trim(F.replace(t, F.lit("  "), F.lit(" ")))
 
 
 def known_licenses(spark: SparkSession, texts: Mapping[str, str] | None = None) -> DataFrame:
