@@ -146,7 +146,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     prints = stash(fingerprints(docs, id_col, text_col, shingle), "prints")
     nodes = stash(prints.groupBy("f").agg(F.min("i").alias("first")), "nodes")
-    member = connected_components(near_links(nodes.select("f"), radius, block))
+    member = connected_components(stash(near_links(nodes.select("f"), radius, block), "links"))
     member = nodes.join(member, nodes.f == member.node, "left").select("f", "first", F.coalesce("component", "f").alias("c"))
     lowest = member.groupBy("c").agg(F.min("first").alias("low"))
     named = stash(member.join(lowest, "c").select("f", "low"), "named")
@@ -371,7 +371,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prints = stash(rows.withColumn("d", F.xxhash64("t")).mapInArrow(run, f"i {kind}, d long, f0 long, f1 long, f2 long, f3 long"), "prints")
     nodes = prints.groupBy("f0").agg(F.min("i").alias("first"), F.min(F.struct("d", "f1", "f2", "f3")).alias("x"))
     nodes = stash(nodes.select("f0", "first", "x.*"), "nodes")
-    member = connected_components(similar_links(rows, nodes, shingle, similarity))
+    member = connected_components(stash(similar_links(rows, nodes, shingle, similarity), "links"))
     member = nodes.join(member, nodes.f0 == member.node, "left").select("f0", "first", F.coalesce("component", "f0").alias("c"))
     lowest = member.groupBy("c").agg(F.min("first").alias("low"))
     named = stash(member.join(lowest, "c").select("f0", "low"), "named")
