@@ -332,6 +332,42 @@ def test_embeddings(spark, block):
     assert near_duplicates(rows.limit(0)).count() == 0
 
 
+def brute_canonical(text):
+    """The canonical form, a word at a time."""
+    import regex
+
+    t = regex.sub(license_scan.COPYRIGHT.replace(r"\z", r"\Z"), " ", (text or "").lower())
+    w = regex.findall(r"[\p{L}\p{N}]+", t)
+    single = {a: b.split() for a, b in license_scan.SPELLINGS if " " not in a}
+    w = [y for x in w for y in single.get(x, [x])]
+    double = {tuple(a.split()): b.split() for a, b in license_scan.SPELLINGS if " " in a}
+    out, k = [], 0
+    while k < len(w):
+        pair = double.get(tuple(w[k : k + 2]))
+        out += pair or [w[k]]
+        k += 2 if pair else 1
+    return " ".join(out)
+
+
+def test_canonical_texts_are_brute_force(spark, docs):
+    pick = np.random.default_rng(2)
+    pool = [w for pair in license_scan.SPELLINGS for w in pair] + ["a", "B", "the", "Copyright", "(c)", "2020", "\n", ",", ".", "holder", "ïß"]
+    texts = ["licence licence licence", "Licence  LICENCES,licence", *ODD, *(t for _, t in license_scan.shipped()), *license_scan.LICENSES.values()]
+    texts += [" ".join(pick.choice(pool, 30)) for _ in range(300)]
+    texts += ["Copyright (c) 2020 Some One\nAll rights reserved.\n\n" + t.replace(" ", "\n", 3) for t in license_scan.LICENSES.values()]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", license_scan.canonical(F.col("text")).alias("c")).collect()
+    for r in got:
+        assert r.c == brute_canonical(r.text), r.text
+
+
+def test_wrapped_licence_prose_is_no_copyright_line(spark):
+    mit = license_scan.LICENSES["MIT"]
+    wrapped = re.sub(r"(.{40,60}?) ", r"\1\n", mit).replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS OR\nCOPYRIGHT HOLDERS")
+    rows = spark.createDataFrame([(1, wrapped), (2, "Copyright (c) 2021 Ada\n" + mit), (3, mit[:-9])], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in license_scan.scan(rows, license_scan.known_licenses(spark)).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: None}
+
+
 def test_licences(spark, docs, empty):
     known = license_scan.known_licenses(spark)
     mit = license_scan.LICENSES["MIT"]
