@@ -18,6 +18,7 @@ from pricewright.functions.similarity import trigram_similarity, trigrams
 from pricewright.functions.text import style_code, tokens, variants
 from pricewright.operators.offers import Spec, passes
 from pricewright.plans.understand import expand, meaningful
+from pricewright.session import stash
 
 #: A side is broadcast only after a count shows that it has at most so many rows.
 BROADCAST_ROWS = 100_000
@@ -43,6 +44,13 @@ class Index:
         for name in ("docs", "df", "stats"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
+    def stored(self) -> Index:
+        """The index as tables in the session's shared folder, its terms in ranges, so that a question reads few row groups."""
+        tf = stash(self.tf.repartitionByRange("term").sortWithinPartitions("term"), "tf")
+        docs = stash(self.docs, "docs")
+        stats = docs.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+        return Index(tf, docs, stash(tf.groupBy("term").agg(F.count("*").alias("df")), "df"), stash(stats, "stats"))
+
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
         return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("tf", "docs", "df", "stats")))

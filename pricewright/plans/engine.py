@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,11 +39,12 @@ class Engine:
 
     def ingest(self, found: Iterable[Source], queries: Iterable[str] | None = None, limit: int = 50) -> dict:
         """Collect from sources, embed, upsert; counts by seller and of the upsert."""
-        rows, counts = None, {}
+        asked, parts, keys = list(queries or []), [], []
         for s in found:
-            got = s.collect(list(queries), limit) if queries else s.collect([""], 1_000_000_000)
-            counts[s.key] = got.count()
-            rows = got if rows is None else rows.unionByName(got)
+            parts.append(s.collect(asked, limit) if asked else s.all())
+            keys.append(s.key)
+        rows = stash(reduce(DataFrame.unionByName, parts), "collected") if parts else None
+        counts = dict.fromkeys(keys, 0) | ({r.source: r.n for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()} if parts else {})
         made = self.catalog.upsert(rows.withColumn("vector", embedder(self.dim)(summary()).cast("array<float>"))) if rows is not None else {}
         self.reload()
         return {"by_source": counts, **made}

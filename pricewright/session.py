@@ -35,8 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir of the session."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SCRATCH).rstrip("/")
+    """The shared folder for intermediate tables: spark.checkpoint.dir of the session; a folder of this machine only if the session runs on it alone."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (named or DEFAULT_SCRATCH).rstrip("/")
 
 
 def stash(df: DataFrame, tag: str = "t") -> DataFrame:

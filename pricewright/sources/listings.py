@@ -93,6 +93,10 @@ class Source(ABC):
     def search(self, query: str, limit: int = 20) -> DataFrame:
         """Listings for a query, best first by `_order`."""
 
+    def all(self) -> DataFrame:
+        """All listings that the seller shows without a query, each once."""
+        return self.collect([""], 10_000)
+
     def collect(self, queries: Iterable[str], limit: int = 20) -> DataFrame:
         """Listings of several queries, each once, as first found."""
         found = [self.search(q, limit).withColumn("_q", F.lit(n)) for n, q in enumerate(queries)]
@@ -109,7 +113,7 @@ class StaticSource(Source):
         self.rows = normalise(raw, key)
 
     def all(self) -> DataFrame:
-        return self.rows
+        return self.rows.dropDuplicates(["listing_id"])
 
     def search(self, query: str, limit: int = 20) -> DataFrame:
         """Rows whose summary has most of the query's words, as parts of it; all rows for an empty query."""
@@ -118,7 +122,8 @@ class StaticSource(Source):
         hits = reduce(lambda a, b: a + b, (F.contains(hay, F.lit(w)).cast("int") for w in asked), F.lit(0))
         rows = self.rows.withColumn("_hits", hits)
         rows = rows.where("_hits > 0") if asked else rows
-        return rows.withColumn("_order", F.row_number().over(Window.orderBy(F.desc("_hits"), "listing_id"))).where(F.col("_order") <= limit).drop("_hits")
+        best = rows.orderBy(F.desc("_hits"), "listing_id").limit(limit)
+        return best.withColumn("_order", F.row_number().over(Window.orderBy(F.desc("_hits"), "listing_id"))).drop("_hits")  # limit rows at most
 
 
 class PageSource(Source):
@@ -157,6 +162,8 @@ def sources(spark: SparkSession, keys: Iterable[str] | None = None, mode: str =
     """Sources of some sellers, or of all, from files or from fetched pages."""
     mode = mode or os.environ.get("PRICEWRIGHT_MODE", "fixtures")
     make: dict[str, Callable[[str], Source]] = {"fixtures": lambda k: fixture(spark, k, folder), "live": lambda k: PageSource(spark, k, fetched)}
+    if mode == "live" and fetched is None:
+        raise ValueError("mode live needs a table of fetched pages")
     known = [s[0] for s in v.SITES]
     return [make[mode](site(k)["key"]) for k in (keys if keys is not None else known)]
 
