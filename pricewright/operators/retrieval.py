@@ -6,6 +6,7 @@ over (query, document), so a batch of any size is one plan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -151,7 +152,7 @@ def relevant(covered: str = "covered", identifying: str = "identifying", vector:
     return F.coalesce(strong, F.lit(False)) | (F.coalesce(F.col(vector), F.lit(0.0)) >= v.MIN_VECTOR)
 
 
-def search(index: Index, listings: DataFrame, queries: dict[str, str], spec: Spec | None = None, top_k: int = 40, how: str = "hybrid", widen: bool = True, full_vectors: bool = False) -> DataFrame:
+def search(index: Index, listings: DataFrame, queries: dict[str, str], spec: Spec | None = None, top_k: int = 40, how: str = "hybrid", widen: bool = True, full_vectors: bool = False, embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """Hits (query, listing_id, score, lexical, vector, boost, terms), best first by rank.
 
     Filters come before scoring. The 400 best by BM25 of a query meet the vectors;
@@ -160,14 +161,14 @@ def search(index: Index, listings: DataFrame, queries: dict[str, str], spec: Spe
     and is not held to the floor. Listings carry `vector`; queries are embedded alike.
     """
     spark, spec = listings.sparkSession, spec or Spec()
-    from pricewright.functions.vectors import dot, embed_text
+    from pricewright.functions.vectors import dot, embedder
 
     eligible = listings.where(passes(spec)).select(F.col("listing_id").alias("doc"), "vector", p.total_for().alias("total"), style_code(F.col("style_code")).alias("code"))
     terms = query_terms(spark, queries, widen)
     wanted = spark.createDataFrame([(q, w) for q, t in queries.items() for w in (meaningful(t) if widen else meaningful(t, keep=True))], "query string, word string")
     used = repair(terms, index.df)
     lexical = top(bm25(index, prune(used, index.df, index.stats), eligible), "lexical", v.RERANK_DEPTH).drop("rank")
-    ask = spark.createDataFrame([(q, embed_text(t)) for q, t in queries.items()], "query string, ask array<double>")
+    ask = spark.createDataFrame(list(queries.items()), "query string, text string").select("query", (embed or embedder())(F.col("text")).cast("array<double>").alias("ask"))
     bare = F.broadcast(ask) if full_vectors else F.broadcast(ask.join(lexical.select("query").distinct(), "query", "left_anti"))
     pairs = eligible.crossJoin(bare).select("query", "doc", F.lit(None).cast("double").alias("lexical"), F.array().cast("array<string>").alias("matched"))  # a stated query set against all rows
     rows = lexical if full_vectors is False else lexical.join(pairs.select("query", "doc"), ["query", "doc"], "full")

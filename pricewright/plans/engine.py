@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewright.functions import pricing as p
@@ -22,16 +22,21 @@ from pricewright.sources.listings import Source
 
 
 class Engine:
-    """Answers questions from a catalogue; `complete`, if given, is a language model from question to text."""
+    """Answers questions from a catalogue.
 
-    def __init__(self, spark: SparkSession, path: str, complete: Callable[[str], str] | None = None, dim: int = DIM):
+    `complete`, if given, is a language model from question to text; `embed`, if given, makes a column of
+    `dim` numbers from a text column, for listings and questions alike, instead of feature hashing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, complete: Callable[[str], str] | None = None, dim: int = DIM, embed: Callable[[Column], Column] | None = None):
+        self.embed = embed or embedder(dim)
         self.spark, self.catalog, self.complete, self.dim = spark, Catalog(spark, path), complete, dim
         self.reload()
 
     def reload(self) -> None:
         """Take the catalogue's current version; vectors are made only where none of the right length is stored."""
         rows = self.catalog.listings()
-        made = embedder(self.dim)(summary())
+        made = self.embed(summary())
         fit = F.coalesce(F.size("vector") == self.dim, F.lit(False))
         have, lack = rows.where(fit), rows.where(~fit).withColumn("vector", made.cast("array<float>"))
         self.rows = have.unionByName(lack)
@@ -45,7 +50,7 @@ class Engine:
             keys.append(s.key)
         rows = stash(reduce(DataFrame.unionByName, parts), "collected") if parts else None
         counts = dict.fromkeys(keys, 0) | ({r.source: r.n for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()} if parts else {})
-        made = self.catalog.upsert(rows.withColumn("vector", embedder(self.dim)(summary()).cast("array<float>"))) if rows is not None else {}
+        made = self.catalog.upsert(rows.withColumn("vector", self.embed(summary()).cast("array<float>"))) if rows is not None else {}
         self.reload()
         return {"by_source": counts, **made}
 
@@ -56,7 +61,7 @@ class Engine:
         """Products of the hits, with all listings of their codes, the best hit first."""
         wide = relaxed(spec)
         text = " ".join(filter(None, (spec.terms, spec.style_code))) or spec.text
-        hits = retrieval.search(self.index, self.rows, {"q": text}, wide, spec.top_k).select("listing_id", "score")
+        hits = retrieval.search(self.index, self.rows, {"q": text}, wide, spec.top_k, embed=self.embed).select("listing_id", "score")
         found = self.rows.join(F.broadcast(hits), "listing_id").drop("vector")  # top_k rows at most
         more = resolve.siblings(self.rows.drop("vector"), found).withColumn("score", F.lit(0.0))
         both = stash(found.unionByName(more), "found")  # a few listings, used by several plans
