@@ -57,16 +57,20 @@ class Index:
         return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("tf", "docs", "df", "stats")))
 
 
-def build(rows: DataFrame, doc: str, fields: dict[str, float] | None = None) -> Index:
-    """Term frequencies weighted by field; a numbered model's parts count less; lengths are of whole words only."""
+def build(rows: DataFrame, doc: str, fields: dict[str, float] | None = None, once: bool = False) -> Index:
+    """Term frequencies weighted by field; a numbered model's parts count less; lengths are of whole words only.
+
+    With `once` the words of each document are written first, so that a large corpus is split only once.
+    """
     fields = fields or v.FIELD_WEIGHTS
 
     def weighed(field: str, w: float) -> Column:
         return F.transform(tokens(F.col(field)), lambda t: F.struct(t.alias("t"), F.lit(w).alias("w"), F.lit(w).alias("l")))
 
     words = F.flatten(F.array(*(weighed(f, w) for f, w in fields.items())))
-    parts = F.flatten(F.transform("x", lambda s: F.transform(variants(s["t"]), lambda t: F.struct(t.alias("t"), (s["w"] * v.VARIANT_WEIGHT).alias("w"), F.lit(0.0).alias("l")))))
+    parts = F.flatten(F.transform(F.filter("x", lambda s: s["t"].rlike("[0-9]v")), lambda s: F.transform(variants(s["t"]), lambda t: F.struct(t.alias("t"), (s["w"] * v.VARIANT_WEIGHT).alias("w"), F.lit(0.0).alias("l")))))
     each = rows.select(F.col(doc).alias("doc"), words.alias("x"))
+    each = stash(each, "split") if once else each
     length = F.aggregate("x", F.lit(0.0), lambda s, e: s + e["l"])
     docs = each.select("doc", length.alias("len"))
     tf = each.select("doc", F.explode(F.concat("x", parts)).alias("e")).groupBy("doc", F.col("e.t").alias("term")).agg(F.sum("e.w").alias("tf"))

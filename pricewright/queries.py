@@ -318,7 +318,7 @@ def _word_index(spark: SparkSession, d: str) -> ret.Index:
     """The stored index of all documents; a session builds it once for a folder."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _indexes:
-        _indexes[key] = ret.build(table(spark, d, "documents").select("doc_id", "text"), "doc_id", {"text": 1.0}).stored()
+        _indexes[key] = ret.build(table(spark, d, "documents").select("doc_id", "text"), "doc_id", {"text": 1.0}, once=True).stored()
     return _indexes[key]
 
 
