@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import re
 import sys
 from dataclasses import replace
 
@@ -53,6 +54,12 @@ def spec_of(engine: Engine, args: argparse.Namespace) -> Spec:
     return replace(spec, size=args.size or spec.size, condition=args.condition or spec.condition, include_shipping=spec.include_shipping and not args.no_shipping)
 
 
+def by_size(prices: dict[str, float] | None) -> dict[str, float]:
+    """A price curve in the order of sizes as numbers; sizes that are none come last, by name."""
+    number = re.compile(r"\d+(?:\.\d+)?")
+    return dict(sorted((prices or {}).items(), key=lambda x: (0, float(x[0]), "") if number.fullmatch(x[0]) else (1, 0.0, x[0])))
+
+
 def canonical_brand(spark: SparkSession, text: str) -> str:
     from pyspark.sql import functions as F
 
@@ -104,7 +111,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
         return 0
     elif args.command == "product":
         rows, tail = engine.product(args.code)
-        for r in [*rows.drop("vector", "raw").collect(), *tail.orderBy("listing_id", "age").collect()]:
+        found = [r.asDict() for r in rows.drop("vector", "raw").orderBy("listing_id").collect()]
+        if not found:
+            print(f"No listings with style code {args.code}.", file=out)
+            return 1
+        for r in found:
+            print(json.dumps(r | {"size_prices": by_size(r["size_prices"])}, default=str), file=out)
+        for r in tail.orderBy("listing_id", "age").collect():
             print(json.dumps(r.asDict(), default=str), file=out)
     elif args.command == "deals":
         for rows in engine.deals(args.min_pct, canonical_brand(engine.spark, args.brand), args.limit):

@@ -198,13 +198,16 @@ def history_tail(spark, d):
 
 
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("listing_id"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("vector"))
-    old = rows.where("listing_id % 3 <> 0")
-    new = rows.where("listing_id % 2 = 0").select("listing_id", F.when(F.col("listing_id") % 4 == 0, F.col("price") * 0.5).otherwise(F.col("price")).alias("price"), F.lit(None).cast("string").alias("vector"))
+    """Two versions of the orders by status and priority; every order is in one of them, many in both, some there at another price."""
+    urgent = F.col("o_orderpriority") < "3"
+    price = F.when(urgent, F.col("o_totalprice") * 0.5).otherwise(F.col("o_totalprice"))
+    rows = table(spark, d, "orders").withColumn("listing_id", F.col("o_orderkey"))
+    old = rows.where((F.col("o_orderstatus") != "F") | urgent).select("listing_id", F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("vector"))
+    new = rows.where((F.col("o_orderstatus") != "O") | ~urgent).select("listing_id", price.alias("price"), F.lit(None).cast("string").alias("vector"))
     return old, new
 
 
-HALVES = "old AS (SELECT o_orderkey AS listing_id, o_totalprice AS price, o_orderstatus AS vector FROM orders WHERE o_orderkey % 3 <> 0), new AS (SELECT o_orderkey AS listing_id, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice * 0.5 ELSE o_totalprice END AS price FROM orders WHERE o_orderkey % 2 = 0)"
+HALVES = "old AS (SELECT o_orderkey AS listing_id, o_totalprice AS price, o_orderstatus AS vector FROM orders WHERE o_orderstatus <> 'F' OR o_orderpriority < '3'), new AS (SELECT o_orderkey AS listing_id, CASE WHEN o_orderpriority < '3' THEN o_totalprice * 0.5 ELSE o_totalprice END AS price FROM orders WHERE o_orderstatus <> 'O' OR o_orderpriority >= '3')"
 
 
 @query(f"WITH {HALVES} SELECT count(*) FILTER (o.listing_id IS NULL) AS new, count(o.listing_id) AS updated, count(*) FILTER (abs(n.price - o.price) > 0.005) AS price_changed FROM new n LEFT JOIN old o USING (listing_id)")
