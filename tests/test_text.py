@@ -82,3 +82,10 @@ def test_refinement_keeps_what_patterns_found():
     assert (y.size, y.gender, y.brands, y.intent) == ("9", "men", ("adidas", "nike"), "compare")
     assert u.refine(x, lambda q: "no json") == x
     assert u.refine(x, lambda q: 1 / 0) == x
+
+
+def test_price_curve_runs_by_number():
+    from pricewright.cli import by_size
+
+    assert list(by_size({"10": 1.0, "9.5": 2.0, "XL": 3.0, "9": 4.0, "M": 5.0})) == ["9", "9.5", "10", "M", "XL"]
+    assert by_size(None) == {}
