@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pricewright import vocabulary as v
 from pricewright.functions import pricing as p
 from pricewright.functions import similarity as s
 from pricewright.functions import text as t
@@ -16,10 +17,11 @@ from pricewright.operators import offers as o
 from pricewright.operators import resolve as r
 from pricewright.operators import retrieval as ret
 from pricewright.operators.components import connected_components
-from pricewright.plans.understand import parse
+from pricewright.plans.understand import parse, relaxed
 from pricewright.plans.views import catalogue, curved, history, offers
 from pricewright.session import table
 from pricewright.sources import pages as pg
+from pricewright.sources.listings import Source, normalise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -111,6 +113,21 @@ def deals_top(spark, d):
     return o.deals(offers(spark, d), 10.0, limit=20).select("listing_id", "discount_pct")
 
 
+@query("SELECT p_partkey FROM part WHERE p_size % 5 IN (0, 1, 3) AND lower(p_brand) IN ('brand#1', 'brand#2', 'brand#3')")
+def gender_filter(spark, d):
+    k = F.col("p_size") % 5
+    gender = F.when(k == 0, "").when(k == 1, "women").when(k == 2, "men").when(k == 3, "unisex").otherwise("kids")
+    rows = table(spark, d, "part").select("p_partkey", F.lower("p_brand").alias("brand"), gender.alias("gender"))
+    return rows.where(o.passes(o.Spec(brands=("brand#1", "brand#2", "brand#3"), gender="women", in_stock_only=False))).select("p_partkey")
+
+
+@query(f"WITH {OFFERS} SELECT listing_id FROM offers WHERE brand IN ('Brand#1', 'Brand#2') AND condition = 'used'")
+def relaxed_filter(spark, d):
+    """Candidates of a question are not held to its budget, discount, size and stock."""
+    spec = o.Spec(brands=("Brand#1", "Brand#2"), size="3", max_price=10.0, min_discount=50.0, condition="used")
+    return sized(spark, d).where(o.passes(relaxed(spec))).select("listing_id")
+
+
 # Offers of a product
 
 
@@ -234,6 +251,69 @@ def union_dedupe(spark, d):
     return r.first_rows(both, "l_orderkey", ["k", "l_partkey"]).select("l_orderkey", "k", "l_partkey")
 
 
+@query("""WITH x AS (SELECT user_id AS listing_id, ts AS observed_at, value AS price, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS age FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7))
+  SELECT * FROM x WHERE age <= 3""")
+def code_history(spark, d):
+    """The last observations of the listings of one style code, however the code is written."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("listing_id"), F.concat(F.lit("ab_-"), "c_nationkey").alias("code"))
+    rows = rows.where(t.style_code(F.col("code")) == t.style_code(F.lit("AB - 7")))
+    tail = c.history_tail(history(spark, d).join(rows.select("listing_id"), "listing_id", "left_semi"), 3)
+    return tail.select("listing_id", "observed_at", "price", F.col("age").cast("long").alias("age"))
+
+
+@query("""WITH g AS (SELECT user_id AS listing_id, max(value) AS high, count(*) AS points, max_by(value, ts) AS latest FROM events GROUP BY 1), x AS (SELECT *, (1 - latest / high) * 100 AS pct FROM g WHERE points > 1 AND high > 0)
+  SELECT listing_id, c_name AS title, floor(pct * 10 + 0.5) / 10 AS drop_pct FROM x JOIN customer ON c_custkey = listing_id WHERE pct >= 5 ORDER BY drop_pct DESC, listing_id LIMIT 10""")
+def fallen_top(spark, d):
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("listing_id"), F.col("c_name").alias("title"))
+    fallen = c.price_drops(history(spark, d)).join(rows, "listing_id")
+    return fallen.orderBy(F.desc("drop_pct"), "listing_id").limit(10).select("listing_id", "title", "drop_pct")
+
+
+class _Shelf(Source):
+    """Parts whose name has the word asked for, the lowest key first."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        super().__init__(spark, "nike")
+        self.rows = table(spark, d, "part").select(F.col("p_partkey").alias("listing_id"), "p_name")
+
+    def search(self, query: str, limit: int = 20) -> DataFrame:
+        return self.rows.where(F.contains("p_name", F.lit(query))).withColumns({"asked": F.lit(query), "_order": F.col("listing_id")})
+
+
+@query("SELECT p_partkey AS listing_id, CASE WHEN contains(p_name, 'red') THEN 'red' WHEN contains(p_name, 'ring') THEN 'ring' ELSE 'small' END AS asked FROM part WHERE contains(p_name, 'red') OR contains(p_name, 'ring') OR contains(p_name, 'small')")
+def collect_once(spark, d):
+    return _Shelf(spark, d).collect(["red", "ring", "small"]).select("listing_id", "asked")
+
+
+NORMAL = """raw AS (SELECT *, CASE p_partkey % 4 WHEN 0 THEN concat('https://www.nike.com/t/x-', p_partkey) WHEN 1 THEN concat('https://www.nike.com/x-', p_partkey) WHEN 2 THEN concat('https://cdn.x/', p_partkey) ELSE concat('http://a.b/', p_partkey) END AS url FROM part
+  WHERE p_size % 7 <> 0 AND p_size % 11 <> 0 AND p_size % 13 <> 0)"""
+
+
+@query(f"""WITH {NORMAL} SELECT substr(sha1(lower(concat('nike|', url))), 1, 16) AS listing_id, url, 'nike' AS source, 'brand' AS source_kind, 'nike' AS brand,
+  CASE WHEN p_size % 5 = 0 THEN 'red black' WHEN p_size % 2 = 0 THEN 'air zoom' ELSE 'air red zoom' END AS model, CASE WHEN p_size % 2 = 0 OR p_size % 5 = 0 THEN 'red / black' ELSE '' END AS colorway,
+  CASE WHEN p_size % 2 = 0 THEN least(p_retailprice, 950.5) ELSE p_retailprice END AS price, p_retailprice + 50 AS list_price, CASE WHEN p_size % 3 = 0 THEN 'EUR' ELSE 'USD' END AS currency, CAST(5 AS DOUBLE) AS shipping,
+  CASE WHEN p_size % 2 = 0 THEN '9,10.5,11' ELSE '9,10.5' END AS sizes, CASE WHEN p_size % 4 IN (0, 1) THEN 'used' ELSE 'new' END AS condition, CASE p_size % 3 WHEN 0 THEN 'women' WHEN 1 THEN 'men' ELSE '' END AS gender, true AS in_stock FROM raw""")
+def normalised_listings(spark, d):
+    """Parts as raw records of a seller: rejected, completed, folded and made absolute."""
+    k, key = F.col("p_size"), F.col("p_partkey")
+    even, paint = k % 2 == 0, (k % 2 == 0) | (k % 5 == 0)
+    x = F.concat(F.lit("x-"), key)
+    raw = table(spark, d, "part").select(
+        F.when(k % 13 == 0, "  ").when(k % 3 == 0, F.concat(F.lit("Pegasus "), k)).otherwise(F.concat(F.lit("Nike Pegasus "), k)).alias("title"),
+        F.when(k % 11 == 0, "").when(key % 4 == 0, F.concat(F.lit("/t/"), x)).when(key % 4 == 1, x).when(key % 4 == 2, F.concat(F.lit("//cdn.x/"), key)).otherwise(F.concat(F.lit("http://a.b/"), key)).alias("url"),
+        F.when(k % 5 == 0, "red black").otherwise("air red zoom").alias("model"),
+        F.when(paint, "Red/Black").alias("colorway"),
+        F.when(k % 7 == 0, "sold out").otherwise(F.concat(F.when(k % 3 == 0, "€").otherwise("$"), F.col("p_retailprice"))).alias("price"),
+        (F.col("p_retailprice") + 50).cast("string").alias("list_price"), F.lit("free over 99, else $5").alias("fees"), F.lit("$5").alias("shipping"),
+        F.array(F.lit("US M 9"), F.lit("10½"), F.lit("09")).alias("sizes"),
+        F.when(even, F.create_map(F.lit("9"), F.lit("$2,000"), F.lit("US 11"), F.lit("950.50"), F.lit("12"), F.lit("n/a"))).alias("size_prices"),
+        F.when(k % 4 == 0, "Pre-Owned").when(k % 4 == 1, "gently USED").when(k % 4 == 2, "refurbished").alias("condition"),
+        F.when(k % 3 == 0, " Women").when(k % 3 == 1, "men").otherwise("dogs").alias("gender"),
+    )
+    out = normalise(raw, "nike")
+    return out.select("listing_id", "url", "source", "source_kind", "brand", "model", "colorway", "price", "list_price", "currency", "shipping", F.array_join("sizes", ",").alias("sizes"), "condition", "gender", "in_stock")
+
+
 # Text
 
 
@@ -290,6 +370,52 @@ def parse_title(spark, d):
     return table(spark, d, "part").select("p_partkey", t.parse_title(x).alias("x")).select("p_partkey", "x.*")
 
 
+WORDS_SQL = "', '".join(v.ACRONYMS)
+
+
+@query(f"""SELECT p_partkey, array_to_string(list_transform(string_split(trim(concat(p_name, ' og SB ', p_type)), ' '), lambda w: CASE WHEN lower(w) IN ('{WORDS_SQL}') THEN upper(w) ELSE concat(upper(w[1]), lower(w[2:])) END), ' ') AS title FROM part""")
+def title_case(spark, d):
+    return table(spark, d, "part").select("p_partkey", t.title_case(F.concat("p_name", F.lit("  og SB "), "p_type", F.lit(" "))).alias("title"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 4 WHEN 0 THEN 'n/a' WHEN 1 THEN '$' WHEN 2 THEN 'CA$' ELSE 'CHF ' END || CASE WHEN l_linenumber % 4 = 0 THEN '' ELSE format('{:,.2f}', l_extendedprice) END AS shown FROM lineitem""")
+def money_text(spark, d):
+    k = F.col("l_linenumber") % 4
+    shown = t.money_text(F.when(k != 0, F.col("l_extendedprice")), F.when(k == 1, "usd").when(k == 2, "CAD").otherwise("chf"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", shown.alias("shown"))
+
+
+SHELF = """shelf AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS doc, lower(p_brand) AS brand, concat_ws(' ', p_name, p_size) AS model, split_part(p_name, ' ', 1) AS colorway, p_name AS title, CASE WHEN p_size % 4 = 0 THEN 'men' ELSE '' END AS gender, 'Sole' AS source_name,
+  CASE WHEN p_size % 3 = 0 THEN concat(upper(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')), '-', p_size, '-', substr(sha1(p_name), 1, 3)) ELSE '' END AS style_code FROM part)"""
+
+
+def _shelf(spark: SparkSession, d: str) -> DataFrame:
+    gender = F.when(F.regexp_extract("model", r"(\d+)$", 1).cast("int") % 4 == 0, "men").otherwise("")
+    return catalogue(spark, d).withColumns({"gender": gender, "source_name": F.lit("Sole")})
+
+
+@query(f"WITH {SHELF} SELECT doc AS listing_id, concat_ws(' ', nullif(brand, ''), nullif(model, ''), nullif(colorway, ''), nullif(style_code, ''), nullif(gender, ''), source_name, title) AS summary FROM shelf")
+def summaries(spark, d):
+    return _shelf(spark, d).select("listing_id", t.summary().alias("summary"))
+
+
+@query("SELECT p_partkey, array_to_string(list_sort(list_distinct([concat(p_size, '.5'), CAST(p_partkey % 10 AS VARCHAR), concat('v', p_partkey % 10)])), ',') AS numbers FROM part")
+def model_numbers(spark, d):
+    x = F.concat("p_name", F.lit(" "), "p_size", F.lit(".5 V"), F.col("p_partkey") % 10)
+    return table(spark, d, "part").select("p_partkey", F.array_join(s.model_numbers(x), ",").alias("numbers"))
+
+
+COLOURS_SQL = "['" + "', '".join(v.COLOURS) + "']"
+
+
+@query(f"""WITH x AS (SELECT p_partkey, concat(CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN concat(p_type, '/Trim') ELSE concat(p_type, ' with a long tail that is over forty / letters') END) AS y FROM part)
+  SELECT p_partkey, list_has_any(regexp_split_to_array(lower(y), '[\s/]+'), {COLOURS_SQL}) OR (contains(y, '/') AND length(y) <= 40) AS colourway FROM x""")
+def looks_like_colourway(spark, d):
+    k = F.col("p_size") % 3
+    x = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat("p_type", F.lit("/Trim"))).otherwise(F.concat("p_type", F.lit(" with a long tail that is over forty / letters")))
+    return table(spark, d, "part").select("p_partkey", t.looks_like_colourway(x).alias("colourway"))
+
+
 # Similarity
 
 GRAMS = "list_distinct(list_transform(range(0, length({0}) + 1), lambda i: substr('  ' || {0} || ' ', i + 1, 3)))"
@@ -358,11 +484,16 @@ LEX = f"""{TF}, dl AS (SELECT doc_id AS doc, len({TOKENS.format('text')}) AS len
   lex AS (SELECT query, doc, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / al))) AS lexical FROM used JOIN freq USING (term) JOIN dl USING (doc) GROUP BY ALL)"""
 
 
-def _lexical(spark: SparkSession, d: str) -> tuple[ret.Index, DataFrame]:
+def _pruned(spark: SparkSession, d: str) -> tuple[ret.Index, DataFrame]:
     index = _word_index(spark, d)
     terms = ret.query_terms(spark, QUESTIONS, widen=False)
     known = terms.join(index.df.select("term"), "term", "left_semi").select("query", "term", "weight", "sources")
-    return index, ret.bm25(index, ret.prune(known, index.df, index.stats))
+    return index, ret.prune(known, index.df, index.stats)
+
+
+def _lexical(spark: SparkSession, d: str) -> tuple[ret.Index, DataFrame]:
+    index, terms = _pruned(spark, d)
+    return index, ret.bm25(index, terms)
 
 
 @query(f"WITH {LEX} SELECT query, doc, round(lexical, 6) AS lexical FROM lex QUALIFY row_number() OVER (PARTITION BY query ORDER BY lexical DESC, doc) <= 10")
@@ -370,6 +501,22 @@ def bm25_topk(spark, d):
     return ret.top(_lexical(spark, d)[1], "lexical", 10).select("query", "doc", F.round("lexical", 6).alias("lexical"))
 
 
+@query(f"""WITH {LEX}, ok AS (SELECT lex.* FROM lex JOIN documents ON doc_id = doc WHERE lang = 'en') SELECT query, doc, round(lexical, 6) AS lexical FROM ok QUALIFY row_number() OVER (PARTITION BY query ORDER BY lexical DESC, doc) <= 10""")
+def eligible_topk(spark, d):
+    """Filters come before the best are taken; the weights of words are those of the whole corpus."""
+    index, terms = _pruned(spark, d)
+    eligible = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("doc"))
+    return ret.top(ret.bm25(index, terms, eligible), "lexical", 10).select("query", "doc", F.round("lexical", 6).alias("lexical"))
+
+
+FIELDS_SQL = " UNION ALL ".join(f"SELECT doc, unnest({TOKENS.format(f)}) AS term, {w} AS w FROM shelf" for f, w in v.FIELD_WEIGHTS.items())
+
+
+@query(f"WITH {SHELF}, x AS ({FIELDS_SQL}) SELECT doc, term, CAST(sum(w) AS DOUBLE) AS tf FROM x GROUP BY ALL")
+def field_weights(spark, d):
+    return ret.build(_shelf(spark, d), "listing_id").tf.select("doc", "term", "tf")
+
+
 @query(f"WITH {LEX} SELECT DISTINCT query, term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM used")
 def common_term_prune(spark, d):
     index = _word_index(spark, d)
@@ -482,6 +629,28 @@ def code_groups(spark, d):
     return r.code_groups(r.prepared(catalogue(spark, d)))
 
 
+@query(f"""WITH {SHELF}, named AS (SELECT doc, brand, {SQUASH.format("model")} AS m FROM shelf), keys AS (
+    SELECT DISTINCT doc, concat(brand, '|', unnest(list_filter(regexp_split_to_array(m, '[\s/_-]+'), lambda x: x <> ''))) AS key FROM named
+    UNION SELECT doc, concat(brand, '|#', unnest(regexp_extract_all(m, '\d+(?:\.\d+)?'))) FROM named),
+  kept AS (SELECT * FROM keys WHERE key IN (SELECT key FROM keys GROUP BY key HAVING count(*) BETWEEN 2 AND {v.BLOCK_CAP}))
+  SELECT DISTINCT x.doc AS a, y.doc AS b FROM kept x JOIN kept y USING (key) WHERE x.doc < y.doc""")
+def blocked_pairs(spark, d):
+    return r.candidates(r.prepared(catalogue(spark, d)))
+
+
+GENDERS_SQL = "CASE {} % 5 WHEN 0 THEN 'men' WHEN 1 THEN 'women' WHEN 2 THEN 'unisex' WHEN 3 THEN 'kids' ELSE '' END"
+
+
+@query(f"""WITH n AS (SELECT n_nationkey AS k, n_regionkey AS r, {GENDERS_SQL.format("CAST(n_nationkey / 5 AS INT)")} AS g FROM nation)
+  SELECT x.k AS a, y.k AS b, x.g = y.g OR x.g IN ('', 'unisex') OR y.g IN ('', 'unisex') AS agree FROM n x JOIN n y USING (r) WHERE x.k <> y.k""")
+def genders_agree(spark, d):
+    k = F.round(F.col("n_nationkey") / 5).cast("int") % 5
+    g = F.when(k == 0, "men").when(k == 1, "women").when(k == 2, "unisex").when(k == 3, "kids").otherwise("")
+    rows = table(spark, d, "nation").select(F.col("n_regionkey").alias("r"), F.col("n_nationkey").alias("k"), g.alias("g"))
+    pairs = rows.toDF("r", "a", "x").join(rows.toDF("r", "b", "y"), "r").where("a <> b")
+    return pairs.select("a", "b", s.genders_agree(F.col("x"), F.col("y")).alias("agree"))
+
+
 @query()
 def fuzzy_pairs(spark, d):
     rows = r.prepared(catalogue(spark, d))
