@@ -211,13 +211,14 @@ def wide_prints(texts: pa.Array, shingle: int, most: int = 1 << 23) -> np.ndarra
     return np.packbits((2 * ones > total[:, None]).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
 
 
-def cover(key: np.ndarray, a: np.ndarray, b: np.ndarray, far: int = FAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of equal key, in an order that is the same in all tables: each that no earlier centre covers becomes one and covers the rest within `far` of 128 bits.
+def cover(key: np.ndarray, a: np.ndarray, b: np.ndarray, seed: int = 0, far: int = FAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of equal key, in an order that seed gives: each that no earlier centre covers becomes one and covers the rest within `far` of 128 bits.
 
     Returns the centre and the row of each cover, and all centres, sorted by key. So copies of one
-    text cost a comparison each, however many they are, and meet the same centres in many tables.
+    text cost a comparison each, however many they are. A row whose centre proves unlike it in one
+    order has another centre in the next, so tables of different seeds lose fewer of its links.
     """
-    order = np.lexsort((mix(a), key))
+    order = np.lexsort((mix(a ^ np.uint64(seed)), key))
     k, x, y = key[order], a[order], b[order]
     stays = np.ones(len(order), bool)
     same = np.zeros(len(order) + 1, bool)
@@ -256,7 +257,7 @@ def _deal(ranges: int):
         units, data = [], []
         for t, (p, m) in enumerate(tables):
             key = (mix((part[p] & np.uint64(m)) + np.uint64(t << 48)) >> np.uint64(32)).astype(np.uint32)
-            c, r, left = cover(key, f[:, 0], f[:, 1], CLOSE)
+            c, r, left = cover(key, f[:, 0], f[:, 1], far=CLOSE)
             if len(c):
                 units.append(-1 - t)
                 data.append(np.stack([f[c, 0], f[r, 0]]).tobytes())
@@ -294,7 +295,7 @@ def _compare(ranges: int):
             n = [len(d) // 20 for d in data]
             key = np.concatenate([np.frombuffer(d, np.uint32, k) for d, k in zip(data, n, strict=True)])
             a, b = (np.concatenate([np.frombuffer(d, np.uint64, k, k * (4 + 8 * j)) for d, k in zip(data, n, strict=True)]) for j in range(2))
-            x, y, _ = cover(key, a, b)
+            x, y, _ = cover(key, a, b, u // ranges)
             c, r = a[x].view(np.int64), a[y].view(np.int64)
         if len(c):
             yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(r)], ["src", "dst"])
@@ -352,7 +353,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     seven parts of 36 bits each have the 31 tables of radius 4, so a pair that differs in at most
     4 bits of some part meets, for certain. Pairs at 0.8 differ in 5.4 bits of a part on average: more than 99 in 100 of them
     meet, and nearly all at 0.85. What meets
-    within FAR of 128 bits goes to the first centre of its bucket, at most one pair for a row and table, and each such pair
+    within FAR of 128 bits goes to the first centre of its bucket, in another order in each table and at most one pair for a row and table, and each such pair
     is checked by its whole texts. Texts of one first word of the fingerprint are one node.
 
     Null and wordless texts are one node, linked with nothing else. Null ids never become component_id

@@ -100,6 +100,9 @@ def test_cover_compares_each_row_with_its_first_centre():
     a = np.array([0, 1, 2**40 - 1, 5, 2**50 - 1, 9], np.uint64)
     c, r, left = cover(key, a, a, far=4)
     assert sorted(map(sorted, zip(c.tolist(), r.tolist(), strict=True))) == [[0, 1]] and len(left) == 5
+    a = np.array([0, 0b11, 0b110011], np.uint64)  # each is near the other two, so whichever comes first covers both
+    met = {tuple(sorted((int(x), int(y)))) for seed in range(40) for x, y in zip(*cover(np.zeros(3, np.uint32), a, a, seed, 8)[:2], strict=True)}
+    assert met == {(0, 1), (0, 2), (1, 2)}
 
 
 def test_language_and_toxicity_stages(spark, tmp_path):
