@@ -409,7 +409,7 @@ COLOURS_SQL = "['" + "', '".join(v.COLOURS) + "']"
 
 
 @query(f"""WITH x AS (SELECT p_partkey, concat(CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN concat(p_type, '/Trim') ELSE concat(p_type, ' with a long tail that is over forty / letters') END) AS y FROM part)
-  SELECT p_partkey, list_has_any(regexp_split_to_array(lower(y), '[\s/]+'), {COLOURS_SQL}) OR (contains(y, '/') AND length(y) <= 40) AS colourway FROM x""")
+  SELECT p_partkey, list_has_any(regexp_split_to_array(lower(y), '[\\s/]+'), {COLOURS_SQL}) OR (contains(y, '/') AND length(y) <= 40) AS colourway FROM x""")
 def looks_like_colourway(spark, d):
     k = F.col("p_size") % 3
     x = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat("p_type", F.lit("/Trim"))).otherwise(F.concat("p_type", F.lit(" with a long tail that is over forty / letters")))
@@ -630,8 +630,8 @@ def code_groups(spark, d):
 
 
 @query(f"""WITH {SHELF}, named AS (SELECT doc, brand, {SQUASH.format("model")} AS m FROM shelf), keys AS (
-    SELECT DISTINCT doc, concat(brand, '|', unnest(list_filter(regexp_split_to_array(m, '[\s/_-]+'), lambda x: x <> ''))) AS key FROM named
-    UNION SELECT doc, concat(brand, '|#', unnest(regexp_extract_all(m, '\d+(?:\.\d+)?'))) FROM named),
+    SELECT DISTINCT doc, concat(brand, '|', unnest(list_filter(regexp_split_to_array(m, '[\\s/_-]+'), lambda x: x <> ''))) AS key FROM named
+    UNION SELECT doc, concat(brand, '|#', unnest(regexp_extract_all(m, '\\d+(?:\\.\\d+)?'))) FROM named),
   kept AS (SELECT * FROM keys WHERE key IN (SELECT key FROM keys GROUP BY key HAVING count(*) BETWEEN 2 AND {v.BLOCK_CAP}))
   SELECT DISTINCT x.doc AS a, y.doc AS b FROM kept x JOIN kept y USING (key) WHERE x.doc < y.doc""")
 def blocked_pairs(spark, d):
