@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewright.llm.workers import WordTable, fold, fold_components, mix, portions, raw_of, slices, word_places
+from pricewright.llm.workers import WordTable, fold, fold_components, gather, mix, portions, raw_of, release, slices, word_places
 from pricewright.operators.components import connected_components
 from pricewright.session import stash
 
@@ -165,7 +165,13 @@ PARTS = 7
 PART_RADIUS = 4
 FAR = 28  # of 128 bits: over this, a pair is not looked at
 CLOSE = 8  # of 128 bits: rows of a task so close to another go on as that one
+MOST_DEALT = 1 << 23  # bytes that are dealt at once
 UNIT = 1 << 17  # rows of a table that are compared in one unit, about
+NEAREST = 8  # centres of a row, over all tables, whose texts are compared in the first pass
+SAMPLED = 20_000  # texts, about, from which common shingles are known
+RANKED = 1 << 18  # common shingles that are told apart in the order of all
+RANGE = 1 << 24  # bytes of text to a range of prefix shingles, about
+WANTED = 1 << 20  # keys of texts that are sent to every task; more are joined by a shuffle
 
 
 def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -241,6 +247,11 @@ def cover(key: np.ndarray, a: np.ndarray, b: np.ndarray, seed: int = 0, far: int
     return join(centres), join(rows), order[stays]
 
 
+def gaps(f: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """In how many bits rows of words differ."""
+    return np.bitwise_count(f ^ g).sum(1, dtype=np.uint64)
+
+
 def part_tables() -> list[tuple[int, int]]:
     """(part, mask) of every table."""
     return [(p, m) for p in range(PARTS) for m in covering_masks(PART_RADIUS, PART_BITS)]
@@ -260,16 +271,17 @@ def _deal(ranges: int):
             c, r, left = cover(key, f[:, 0], f[:, 1], far=CLOSE)
             if len(c):
                 units.append(-1 - t)
-                data.append(np.stack([f[c, 0], f[r, 0]]).tobytes())
+                data.append(np.stack([f[c, 0], f[r, 0], gaps(f[c, :2], f[r, :2])]).tobytes())
             cuts = np.searchsorted(key[left], [(-(-(g << 32) // ranges)) for g in range(1, ranges)])
             for g, own in enumerate(np.split(left, cuts)):
                 if len(own):
                     units.append(t * ranges + g)
                     data.append(key[own].tobytes() + f[own, 0].tobytes() + f[own, 1].tobytes())
-            if len(units) >= 64 or t == len(tables) - 1:
+            if sum(map(len, data)) >= MOST_DEALT or t == len(tables) - 1:
                 if units:
                     yield pa.RecordBatch.from_arrays([pa.array(units, pa.int32()), pa.array(data, pa.binary())], ["u", "data"])
                 units, data = [], []
+        release()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -286,19 +298,26 @@ def _deal(ranges: int):
 
 
 def _compare(ranges: int):
-    """A mapInArrow body: rows (u, data) sorted by u to the distinct covers (src, dst) of each unit."""
+    """A mapInArrow body: rows (u, data) sorted by u to the distinct covers (centre src, row dst, bits between them) of each unit."""
 
     def solve(u: int, data: list[bytes]) -> Iterator[pa.RecordBatch]:
         if u < 0:
-            c, r = np.unique(np.concatenate([np.frombuffer(d, np.int64).reshape(2, -1) for d in data], axis=1), axis=1)
+            c, r, gap = np.unique(np.concatenate([np.frombuffer(d, np.int64).reshape(3, -1) for d in data], axis=1), axis=1)
         else:
             n = [len(d) // 20 for d in data]
             key = np.concatenate([np.frombuffer(d, np.uint32, k) for d, k in zip(data, n, strict=True)])
             a, b = (np.concatenate([np.frombuffer(d, np.uint64, k, k * (4 + 8 * j)) for d, k in zip(data, n, strict=True)]) for j in range(2))
             x, y, _ = cover(key, a, b, u // ranges)
             c, r = a[x].view(np.int64), a[y].view(np.int64)
+            gap = gaps(np.stack([a[x], b[x]], axis=1), np.stack([a[y], b[y]], axis=1))
         if len(c):
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(r)], ["src", "dst"])
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(r), pa.array(gap.astype(np.int32))], ["src", "dst", "gap"])
+
+    return _by_unit(solve)
+
+
+def _by_unit(solve):
+    """A mapInArrow body that gives solve the data of each unit of rows (u, data) sorted by u."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -307,31 +326,194 @@ def _compare(ranges: int):
                 if u != key and held:
                     yield from solve(key, held)
                     held = []
+                    release()
                 key = u
                 held.append(d)
         if held:
             yield from solve(key, held)
+        release()
 
     return run
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(src, dst) of nodes (f0..f3, d: the hash of a node's text) whose texts have at least this Jaccard similarity of shingles.
+def close_pairs(nodes: DataFrame) -> DataFrame:
+    """(src, dst): each text of nodes (d, f0..f3) with the NEAREST of the centres that cover it in any table, and with one of those of the same first word."""
+    reps = stash(nodes.groupBy("f0").agg(F.min(F.struct("d", "f1", "f2", "f3")).alias("x")).select("f0", "x.*"), "reps")
+    ranges = max(1, -(-reps.count() // UNIT))
+    dealt = reps.select("f0", "f1", "f2", "f3").mapInArrow(_deal(ranges), "u int, data binary")
+    met = dealt.repartition("u").sortWithinPartitions("u").mapInArrow(_compare(ranges), "src long, dst long, gap int").where("src <> dst")
+    best = met.groupBy("dst").agg(F.slice(F.array_sort(F.collect_set(F.struct("gap", "src"))), 1, NEAREST).alias("best"))
+    best = best.select("dst", F.explode("best.src").alias("src"))
+    of = reps.select("f0", "d")
+    best = best.join(of.toDF("src", "a"), "src").join(of.toDF("dst", "b"), "dst").select("a", "b")
+    twins = nodes.join(reps.select("f0", F.col("d").alias("a")), "f0").where("a <> d").select("a", F.col("d").alias("b"))
+    return best.unionAll(twins).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+
+
+def least_shared(n: np.ndarray, similarity: float) -> np.ndarray:
+    """How many members a set of n shares at least with any set of this similarity."""
+    return np.ceil(similarity * n - 1e-9).astype(np.int64)
 
-    Every table covers its buckets; the pairs are then compared by their whole texts.
+
+def prefixes(texts: pa.Array, shingle: int, similarity: float, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Of each text: how many different shingles it has, and those of its prefix, as 64-bit keys in ascending order.
+
+    One order holds for all texts: shingles that are not among common (sorted) by their hash, then those by their rank.
+    Two sets of this similarity have a shingle in common that is in the prefixes of both.
     """
-    ranges = max(1, -(-nodes.count() // UNIT))
-    dealt = nodes.select("f0", "f1", "f2", "f3").mapInArrow(_deal(ranges), "u int, data binary")
-    pairs = dealt.repartition("u").sortWithinPartitions("u").mapInArrow(_compare(ranges), "src long, dst long")
-    pairs = stash(pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct(), "pairs")
-    text_of = nodes.select("f0", "d").join(pairs.select(F.explode(F.array("src", "dst")).alias("f0")).distinct(), "f0", "left_semi")
-    texts = docs.select(F.xxhash64("t").alias("d"), "t").join(text_of, "d").groupBy("f0").agg(F.first("t").alias("t"))
-    texts = stash(texts, "texts")
+    h, row = shingle_hashes(texts, shingle)
+    key = h >> np.uint64(1)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        key = np.where(common[at] == h, rank[at] | np.uint64(1 << 63), key)
+    order = np.lexsort((key, row))
+    key, row = key[order], row[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+    key, n = key[new], np.bincount(row[new], minlength=len(texts))
+    end = np.cumsum(n)
+    size = np.where(n > 0, n - least_shared(n, similarity) + 1, 0)
+    return n, [key[a : a + k].tobytes() for a, k in zip((end - n).tolist(), size.tolist(), strict=True)]
+
+
+def common_shingles(rows: DataFrame, nodes: int, shingle: int, most: int = 2_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of two or more of a sample of about SAMPLED texts of rows (t, d), sorted, and their ranks, from the rarest on.
+
+    The ranks only order shingles, so the sample has no bearing on results. Of a text, the `most` lowest hashes count.
+    """
+    some = rows.where(F.pmod("d", F.lit(1 << 32)) < int(min(1.0, SAMPLED / max(nodes, 1)) * (1 << 32)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in portions(whole, "t", 1 << 21):
+                h, row = shingle_hashes(b.column(0), shingle)
+                own = [np.unique(x)[:most] for x in np.split(h, np.searchsorted(row, np.arange(1, b.num_rows)))]
+                h, n = np.unique(np.concatenate(own), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    counts = some.groupBy("d").agg(F.first("t").alias("t")).select("t").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    found = counts.where("n >= 2").toArrow()
+    h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.lexsort((h, n))[-RANKED:]
+    h = h[order]
+    back = np.argsort(h)
+    return h[back], back.astype(np.uint64)
+
+
+def _deal_prefixes(ranges: int, most: int = 1 << 12):
+    """A mapInArrow body: nodes (d, c, n, p) to packed rows (u, data) by range of their prefix shingles."""
+
+    def out(d: np.ndarray, c: np.ndarray, n: np.ndarray, p: list[bytes]) -> Iterator[pa.RecordBatch]:
+        size = np.array([len(x) // 8 for x in p])
+        g = mix(np.frombuffer(b"".join(p), np.uint64))
+        node = np.repeat(np.arange(len(d)), size)
+        pos = np.minimum(np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size), 65535).astype(np.uint16)
+        unit = ((g >> np.uint64(48)) * np.uint64(ranges) >> np.uint64(16)).astype(np.int32)
+        order = np.argsort(unit, kind="stable")
+        cuts = np.searchsorted(unit[order], np.arange(1, ranges))
+        units, data = [], []
+        for u, own in enumerate(np.split(order, cuts)):
+            if len(own):
+                who, times = np.unique(node[own], return_counts=True)
+                tied = np.flatnonzero(c[who] != d[who])
+                parts = [np.array([len(who), len(own), len(tied)], np.int64), d[who], c[who[tied]], n[who].astype(np.int32), times.astype(np.int32), tied.astype(np.int32), g[own].astype(np.uint32), pos[own]]
+                units.append(u)
+                data.append(b"".join(x.tobytes() for x in parts))
+        if units:
+            yield pa.RecordBatch.from_arrays([pa.array(units, pa.int32()), pa.array(data, pa.binary())], ["u", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, most):
+                own = b.slice(a, most)
+                yield from out(*(own.column(k).to_numpy(zero_copy_only=False) for k in range(3)), own.column(3).to_pylist())
+            release()
+
+    return run
+
+
+def _meet(similarity: float, most: int = 1 << 20):
+    """A mapInArrow body: rows (u, data) sorted by u to pairs of nodes of different components that share a prefix shingle and may be similar by their sizes and its places."""
+    share = similarity / (1 + similarity)
+
+    def solve(u: int, data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        kinds = ((np.int64, 0), (np.int64, 2), (np.int32, 0), (np.int32, 0), (np.int32, 2), (np.uint32, 1), (np.uint16, 1))
+        cols: list[list[np.ndarray]] = [[] for _ in kinds]
+        base = 0
+        for x in data:
+            held, at = np.frombuffer(x, np.int64, 3), 24
+            for col, (kind, of) in zip(cols, kinds, strict=True):
+                col.append(np.frombuffer(x, kind, held[of], at))
+                at += col[-1].nbytes
+            cols[4][-1] = cols[4][-1] + base
+            base += int(held[0])
+        d, own, n, times, tied, h, pos = (np.concatenate(x) for x in cols)
+        c = d.copy()
+        c[tied] = own
+        node = np.repeat(np.arange(len(d), dtype=np.int32), times)
+        order = np.argsort(h)
+        same = h[order[1:]] == h[order[:-1]]
+        order = order[np.append(same, False) | np.append(False, same)] if len(h) else order
+        h, node, pos = h[order], node[order], pos[order]
+        order = np.lexsort((c[node], h))
+        h, node, pos = h[order], node[order], pos[order]
+        new = np.append(h[1:] != h[:-1], True)
+        end = np.flatnonzero(new)[np.cumsum(new) - new] + 1  # of the rows that share the shingle
+        new |= np.append(c[node[1:]] != c[node[:-1]], True)
+        other = np.flatnonzero(new)[np.cumsum(new) - new] + 1  # of those of the row's component
+        live = np.flatnonzero(other < end)
+        total = np.cumsum(end[live] - other[live])
+        while len(live):
+            k = max(1, int(np.searchsorted(total, most, side="right")))
+            own, live, total = live[:k], live[k:], total[k:] - total[k - 1]
+            i, j = np.repeat(own, end[own] - other[own]), gather(other[own], end[own] - other[own])
+            x, y = node[i], node[j]
+            a, b = n[x].astype(np.int64), n[y].astype(np.int64)
+            may = np.minimum(a - pos[i], b - pos[j]) >= share * (a + b) - 1e-6
+            may &= np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-6
+            if may.any():
+                s, t = d[x[may]], d[y[may]]
+                pairs = np.unique(np.stack([np.minimum(s, t), np.maximum(s, t)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["src", "dst"])
+
+    return _by_unit(solve)
+
+
+def apart_pairs(rows: DataFrame, nodes: DataFrame, member: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(src, dst): all pairs of texts of rows (t, d) of different components by member that may have this similarity; no other such pair has it.
+
+    This is a prefix filter, which is exact: of n shingles in one order for all texts, similar ones share one among
+    the first n - ceil(similarity * n) + 1. Pairs within a component are not made, so a group of copies
+    costs what its prefixes have.
+    """
+    count, size = nodes.count(), rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    common, rank = common_shingles(rows, count, shingle)
+    ranges = min(1 << 16, max(1, -(-size // RANGE)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in portions(whole, "t", 1 << 21):
+                n, p = prefixes(b.column(0), shingle, similarity, common, rank)
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n.astype(np.int32)), pa.array(p, pa.binary())], ["d", "n", "p"])
+
+    firsts = rows.select("t", "d").mapInArrow(run, "d long, n int, p binary").groupBy("d").agg(F.first("n").alias("n"), F.first("p").alias("p"))
+    firsts = firsts.where("n > 0").join(member.toDF("d", "c"), "d", "left").select("d", F.coalesce("c", "d").alias("c"), "n", "p")
+    units = firsts.mapInArrow(_deal_prefixes(ranges), "u int, data binary").repartition("u").sortWithinPartitions("u")
+    return units.mapInArrow(_meet(similarity), "src long, dst long").distinct()
+
+
+def similar_links(rows: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of pairs (src, dst) whose texts in rows (t, d) have at least this Jaccard similarity of shingles, by their whole texts."""
+    pairs = stash(pairs, "pairs")
+    wanted = stash(pairs.select(F.explode(F.array("src", "dst")).alias("d")).distinct(), "wanted")
+    if wanted.count() <= WANTED:
+        wanted = F.broadcast(wanted)
+    texts = stash(rows.select("d", "t").join(wanted, "d").groupBy("d").agg(F.first("t").alias("t")), "texts")
     both = pairs.join(texts.toDF("src", "a"), "src").join(texts.toDF("dst", "b"), "dst").select("src", "dst", "a", "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in portions(whole, "a"):
+            for b in portions(whole, "a", 1 << 20):
                 sets = []
                 for col in (2, 3):
                     h, row = shingle_hashes(b.column(col), shingle)
@@ -349,14 +531,14 @@ def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: f
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per input row: id, component_id, the smallest id reachable over links of texts of at least this Jaccard similarity.
 
-    Similarity is that of sets of word shingles, A-Z lower-cased. Fingerprints have 256 bits;
-    seven parts of 36 bits each have the 31 tables of radius 4, so a pair that differs in at most
-    4 bits of some part meets, for certain. Pairs at 0.8 differ in 5.4 bits of a part on average: more than 99 in 100 of them
-    meet, and nearly all at 0.85. What meets
-    within FAR of 128 bits goes to the first centre of its bucket, in another order in each table and at most one pair for a row and table, and each such pair
-    is checked by its whole texts. Texts of one first word of the fingerprint are one node.
+    Similarity is that of sets of word shingles, A-Z lower-cased. Two passes find the links. The first is SimHash:
+    fingerprints have 256 bits; seven parts of 36 bits each have the 31 tables of radius 4, so a pair that differs in at
+    most 4 bits of some part meets. What meets within FAR of 128 bits goes to the first centre of its bucket, in another
+    order in each table, and a row's NEAREST centres are compared with it, so that a group of copies costs a few pairs a row.
+    The second pass makes all pairs between the components of the first that a prefix filter cannot rule out. Whole
+    texts decide in both, so components are exact, up to equal 64-bit hashes. Equal texts are one node.
 
-    Null and wordless texts are one node, linked with nothing else. Null ids never become component_id
+    Null and wordless texts are linked with each other and with nothing else. Null ids never become component_id
     unless a component has no other. Repeated rows each get their row; an empty table gives
     no rows; other columns are ignored.
     """
@@ -365,15 +547,20 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in portions(whole, "t"):
+            for b in portions(whole, "t", 1 << 21):
                 f = wide_prints(b.column(1), shingle).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(f[:, k]) for k in range(WIDE))], ["i", "d", *(f"f{k}" for k in range(WIDE))])
 
-    prints = stash(rows.withColumn("d", F.xxhash64("t")).mapInArrow(run, f"i {kind}, d long, f0 long, f1 long, f2 long, f3 long"), "prints")
-    nodes = prints.groupBy("f0").agg(F.min("i").alias("first"), F.min(F.struct("d", "f1", "f2", "f3")).alias("x"))
-    nodes = stash(nodes.select("f0", "first", "x.*"), "nodes")
-    member = connected_components(stash(similar_links(rows, nodes, shingle, similarity), "links"))
-    member = nodes.join(member, nodes.f0 == member.node, "left").select("f0", "first", F.coalesce("component", "f0").alias("c"))
+    rows = rows.withColumn("d", F.xxhash64("t"))
+    prints = stash(rows.mapInArrow(run, f"i {kind}, d long, f0 long, f1 long, f2 long, f3 long"), "prints")
+    nodes = prints.groupBy("d").agg(F.min("i").alias("first"), F.min(F.struct("f0", "f1", "f2", "f3")).alias("x"))
+    nodes = stash(nodes.select("d", "first", "x.*"), "nodes")
+    texts = rows.select("t", "d")
+    links = stash(similar_links(texts, close_pairs(nodes), shingle, similarity), "links")
+    member = stash(connected_components(links), "member")
+    links = similar_links(texts, apart_pairs(texts, nodes, member, shingle, similarity), shingle, similarity)
+    member = connected_components(stash(links.unionAll(member.toDF("src", "dst")), "links"))
+    member = nodes.join(member, nodes.d == member.node, "left").select("d", "first", F.coalesce("component", "d").alias("c"))
     lowest = member.groupBy("c").agg(F.min("first").alias("low"))
-    named = stash(member.join(lowest, "c").select("f0", "low"), "named")
-    return prints.join(named, "f0", "left").select(F.col("i").alias(id_col), F.col("low").alias("component_id"))
+    named = stash(member.join(lowest, "c").select("d", "low"), "named")
+    return prints.join(named, "d", "left").select(F.col("i").alias(id_col), F.col("low").alias("component_id"))

@@ -137,3 +137,64 @@ def test_run_packs_what_the_stages_keep(spark, tmp_path, texts):
     for r in got:
         by[r.sequence_id] += r.length
     assert max(by.values()) <= 2048
+
+
+def linked(texts):
+    """The smallest index that each text reaches over links of 0.8 or more."""
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(texts)):
+        for b in range(a):
+            n = len(sets[a] & sets[b])
+            if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9:
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    return [top(k) for k in range(len(texts))]
+
+
+def test_similar_components_lose_no_link_and_make_none(spark, monkeypatch):
+    """Copies near 0.8 of a few texts, short texts, and texts whose repeated shingles hide the others from a fingerprint; also where keys are not broadcast and ranges are many."""
+    from pricewright.llm import simhash
+
+    pick = random.Random(3)
+    texts = []
+    for _ in range(40):
+        base = [f"w{pick.randrange(500)}" for _ in range(pick.choice((12, 25, 60, 150)))]
+        for _ in range(12):
+            own, edits = list(base), max(1, len(base) // 50)
+            for k in pick.sample(range(len(own)), pick.randint(0, edits)):
+                own[k] = f"x{pick.randrange(10**6)}"
+            texts.append(" ".join(own[: len(own) - pick.randint(0, len(own) // 8)]))
+    texts += ["y " * 20 + "z", "y " * 30, "Y " * 20 + " z", "", None, " \t", "a b", "A  b", "a b c d e f", "a b c d e f g"]
+    want = dict(enumerate(linked(texts)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in similar_components(rows).collect()} == want
+    monkeypatch.setattr(simhash, "WANTED", 0)
+    monkeypatch.setattr(simhash, "RANGE", 10_000)
+    assert {r.doc_id: r.component_id for r in similar_components(rows).collect()} == want
+
+
+def test_near_copies_cost_a_few_pairs_a_row(spark, monkeypatch):
+    """One group of near copies: what is compared grows with its rows, and all are found."""
+    from pricewright.llm import simhash
+
+    made, write = [], simhash.stash
+
+    def seen(df, tag="t"):
+        out = write(df, tag)
+        if tag == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stash", seen)
+    pick = random.Random(5)
+    base = " ".join(f"w{k}" for k in range(200))
+    texts = [copy(pick, base, 0.008) for _ in range(600)]
+    got = similar_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r.component_id for r in got.orderBy("doc_id").collect()] == linked(texts)
+    assert sum(made) <= 20 * len(texts)
