@@ -25,6 +25,8 @@ LEAST_LANGUAGE = 0.3
 MOST_TOXICITY = 0.3
 #: The column that tells rows apart within a stage; ids may be null or repeat.
 KEY = "__row_key"
+#: So many marked rows are sent to every task, so that texts are not shuffled to drop them; more are joined by a shuffle.
+MOST_SENT = 1 << 19
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -53,18 +55,24 @@ def _keyed(docs: DataFrame, null_id: int) -> DataFrame:
     return stash(docs.withColumn(KEY, (wide * F.lit(Decimal(1 << 63)).cast("decimal(19,0)") + row).cast("decimal(38,0)")), "keyed")
 
 
+def _without(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """docs without the rows of the KEYs in lost."""
+    lost = stash(lost, "lost")
+    return docs.join(F.broadcast(lost) if lost.count() <= MOST_SENT else lost, KEY, "left_anti").drop(KEY)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of equal texts: the one with the largest id, before null ids, and one of those that repeat it."""
     docs = _keyed(docs, -(1 << 63) - 1)
     lost = exact_dedup(docs, id_col=KEY).where("not kept").select(KEY)
-    return docs.join(lost, KEY, "left_anti").drop(KEY)
+    return _without(docs, lost)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of linked texts, of 5-word shingles with a Jaccard similarity of 0.8 or more: the one with the smallest id, before null ids."""
     docs = _keyed(docs, 1 << 63)
     lost = similar_components(docs, id_col=KEY).where(F.col(KEY) != F.col("component_id")).select(KEY)
-    return docs.join(lost, KEY, "left_anti").drop(KEY)
+    return _without(docs, lost)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,7 +97,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in portions(whole, "t", 1 << 21):
+            for b in portions(whole, "t", 1 << 20):
                 langs = b.column(2).dictionary_encode()
                 codes, row, words = words_of(b.column(1), unicode_space=True)
                 letters, mask, own, bucket = word_features(words)
@@ -213,7 +213,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         own = shared.value
         size = max(1, len(own.langs))
         for whole in batches:
-            for b in portions(whole, "t", 1 << 21):
+            for b in portions(whole, "t", 1 << 20):
                 n = b.num_rows
                 codes, row, words = words_of(b.column(1), unicode_space=True)
                 letters, scores = own.word_scores(words) if own.langs else (np.zeros(len(words), np.int64), np.zeros((len(words), 1), np.float32))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -168,7 +169,8 @@ CLOSE = 8  # of 128 bits: rows of a task so close to another go on as that one
 MOST_DEALT = 1 << 23  # bytes that are dealt at once
 UNIT = 1 << 17  # rows of a table that are compared in one unit, about
 NEAREST = 8  # centres of a row, over all tables, whose texts are compared in the first pass
-SAMPLED = 20_000  # texts, about, from which common shingles are known
+SAMPLED = 20_000  # texts, about, from which common shingles are known, or
+SAMPLED_SHARE = 1 / 8  # of all texts, if that is more: so what is common does not begin at more texts as the input grows
 RANKED = 1 << 18  # common shingles that are told apart in the order of all
 RANGE = 1 << 24  # bytes of text to a range of prefix shingles, about
 WANTED = 1 << 20  # keys of texts that are sent to every task; more are joined by a shuffle
@@ -377,11 +379,11 @@ def prefixes(texts: pa.Array, shingle: int, similarity: float, common: np.ndarra
 
 
 def common_shingles(rows: DataFrame, nodes: int, shingle: int, most: int = 2_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of two or more of a sample of about SAMPLED texts of rows (t, d), sorted, and their ranks, from the rarest on.
+    """The RANKED most frequent shingles of two or more of a sample of texts of rows (t, d), sorted, and their ranks, from the rarest on.
 
     The ranks only order shingles, so the sample has no bearing on results. Of a text, the `most` lowest hashes count.
     """
-    some = rows.where(F.pmod("d", F.lit(1 << 32)) < int(min(1.0, SAMPLED / max(nodes, 1)) * (1 << 32)))
+    some = rows.where(F.pmod("d", F.lit(1 << 32)) < int(min(1.0, max(SAMPLED / max(nodes, 1), SAMPLED_SHARE)) * (1 << 32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -392,10 +394,9 @@ def common_shingles(rows: DataFrame, nodes: int, shingle: int, most: int = 2_000
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     counts = some.groupBy("d").agg(F.first("t").alias("t")).select("t").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    found = counts.where("n >= 2").toArrow()
+    found = counts.where("n >= 2").orderBy(F.desc("n"), "h").limit(RANKED).toArrow()
     h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
-    order = np.lexsort((h, n))[-RANKED:]
-    h = h[order]
+    h = h[np.lexsort((h, n))]
     back = np.argsort(h)
     return h[back], back.astype(np.uint64)
 
@@ -502,9 +503,65 @@ def apart_pairs(rows: DataFrame, nodes: DataFrame, member: DataFrame, shingle: i
     return units.mapInArrow(_meet(similarity), "src long, dst long").distinct()
 
 
-def similar_links(rows: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of pairs (src, dst) whose texts in rows (t, d) have at least this Jaccard similarity of shingles, by their whole texts."""
-    pairs = stash(pairs, "pairs")
+def outline(texts: pa.Array, shingle: int) -> tuple[np.ndarray, list[bytes]]:
+    """Of each text: how many different shingles it has, and how many of them, up to 255, lie in each of about half as many ranges of hashes."""
+    h, row = shingle_hashes(texts, shingle)
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    h, row = mix(h[new]), row[new]
+    n = np.bincount(row, minlength=len(texts))
+    bits = np.clip(np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) - 1, 3, 16)
+    end = np.cumsum(1 << bits)
+    start = end - (1 << bits)
+    at = start[row] + (h >> (64 - bits[row]).astype(np.uint64)).astype(np.int64)
+    held = np.minimum(np.bincount(at, minlength=int(end[-1]) if len(end) else 0), 255).astype(np.uint8).tobytes()
+    return n, [held[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+
+
+def may_share(a: bytes, b: bytes) -> int:
+    """The most members that two sets of these outlines can have in common: in each range, the lesser count."""
+    if b"\xff" in a or b"\xff" in b:  # there may be more than were counted
+        return sys.maxsize
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x.reshape(len(y), -1).sum(1)
+    return int(np.minimum(x, y).sum(dtype=np.int64))
+
+
+def outlines(rows: DataFrame, shingle: int) -> DataFrame:
+    """(d, n, o): the outline of each text of rows (t, d)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in portions(whole, "t", 1 << 20):
+                n, o = outline(b.column(0), shingle)
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n.astype(np.int32)), pa.array(o, pa.binary())], ["d", "n", "o"])
+
+    return rows.select("t", "d").mapInArrow(run, "d long, n int, o binary").groupBy("d").agg(F.first("n").alias("n"), F.first("o").alias("o"))
+
+
+def possible(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """pairs (src, dst) without those that cannot have this similarity by their outlines in lines (d, n, o). No pair that has it is lost."""
+    both = pairs.join(lines.toDF("src", "m", "a"), "src").join(lines.toDF("dst", "n", "b"), "dst").select("src", "dst", "m", "n", "a", "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in batches:
+            need = similarity / (1 + similarity) * (c.column(2).to_numpy().astype(np.int64) + c.column(3).to_numpy()) - 1e-6
+            keep = [may_share(a, b) >= k for a, b, k in zip(c.column(4).to_pylist(), c.column(5).to_pylist(), need.tolist(), strict=True)]
+            yield c.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(check, "src long, dst long")
+
+
+def similar_links(rows: DataFrame, pairs: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of pairs (src, dst) whose texts in rows (t, d) have at least this Jaccard similarity of shingles, by their whole texts.
+
+    Only pairs that their outlines in lines (d, n, o) leave possible meet texts: the others may be many times more.
+    """
+    pairs = stash(possible(stash(pairs, "pairs"), lines, similarity), "possible")
     wanted = stash(pairs.select(F.explode(F.array("src", "dst")).alias("d")).distinct(), "wanted")
     if wanted.count() <= WANTED:
         wanted = F.broadcast(wanted)
@@ -556,9 +613,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = prints.groupBy("d").agg(F.min("i").alias("first"), F.min(F.struct("f0", "f1", "f2", "f3")).alias("x"))
     nodes = stash(nodes.select("d", "first", "x.*"), "nodes")
     texts = rows.select("t", "d")
-    links = stash(similar_links(texts, close_pairs(nodes), shingle, similarity), "links")
+    lines = stash(outlines(texts, shingle), "outlines")
+    links = stash(similar_links(texts, close_pairs(nodes), lines, shingle, similarity), "links")
     member = stash(connected_components(links), "member")
-    links = similar_links(texts, apart_pairs(texts, nodes, member, shingle, similarity), shingle, similarity)
+    links = similar_links(texts, apart_pairs(texts, nodes, member, shingle, similarity), lines, shingle, similarity)
     member = connected_components(stash(links.unionAll(member.toDF("src", "dst")), "links"))
     member = nodes.join(member, nodes.d == member.node, "left").select("d", "first", F.coalesce("component", "d").alias("c"))
     lowest = member.groupBy("c").agg(F.min("first").alias("low"))

@@ -198,3 +198,43 @@ def test_near_copies_cost_a_few_pairs_a_row(spark, monkeypatch):
     got = similar_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert [r.component_id for r in got.orderBy("doc_id").collect()] == linked(texts)
     assert sum(made) <= 20 * len(texts)
+
+
+def test_unlike_texts_with_a_common_line_are_not_read_in_pairs(spark, monkeypatch):
+    """Texts that share a rare line meet by it, but only pairs that may be similar have their texts fetched."""
+    from pricewright.llm import simhash
+
+    made, write = {}, simhash.stash
+
+    def seen(df, tag="t"):
+        out = write(df, tag)
+        made.setdefault(tag, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stash", seen)
+    monkeypatch.setattr(simhash, "SAMPLED", 0)  # no shingle is known to be common
+    monkeypatch.setattr(simhash, "SAMPLED_SHARE", 0, raising=False)
+    pick = random.Random(11)
+    word = lambda: f"w{pick.randrange(10**6)}"
+    texts = [" ".join(["all rights are reserved by us and others", *(word() for _ in range(12))]) for _ in range(60)]
+    texts += [t.rsplit(" ", 1)[0] + f" end{k}" for k, t in enumerate(texts[:5])]
+    got = similar_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r.component_id for r in got.orderBy("doc_id").collect()] == linked(texts)
+    assert sum(made["pairs"]) > 100
+    assert sum(made["texts"]) <= 2 * 5 + 2
+
+
+def test_outlines_never_rule_out_a_shared_member():
+    import pyarrow as pa
+
+    from pricewright.llm.simhash import may_share, outline
+
+    pick = random.Random(3)
+    texts = [" ".join(f"w{pick.randrange(m)}" for _ in range(pick.randint(0, m))) for m in (5, 40, 300, 3000) for _ in range(6)]
+    n, lines = outline(pa.array([*texts, None]), 5)
+    sets = [grams(t) for t in [*texts, None]]
+    assert n.tolist() == list(map(len, sets))
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets):
+            assert len(x & y) <= may_share(lines[a], lines[b]) <= min(len(x), len(y))
+    assert may_share(b"\xff" * 8, bytes(8)) > 1 << 40
