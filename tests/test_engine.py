@@ -15,6 +15,7 @@ from pricewright.operators import resolve as r
 from pricewright.operators.components import connected_components
 from pricewright.plans.answer import render
 from pricewright.plans.engine import Engine
+from pricewright.session import stash
 from pricewright.sources import pages as pg
 from pricewright.sources.http import FetchError, Fetcher
 from pricewright.sources.listings import RAW, StaticSource, fixture, normalise, sources, synthetic
@@ -208,3 +209,25 @@ def test_stream(spark, tmp_path):
     cat = c.Catalog(spark, str(tmp_path / "c"))
     ingest(observations(spark, str(tmp_path / "in")), cat, str(tmp_path / "ck"), once=True).awaitTermination()
     assert cat.listings().count() == 3 and cat.history().count() == 3
+
+
+def test_repair_does_not_broadcast_the_vocabulary(spark):
+    """What is sent to every task are the asked words: the vocabulary grows with the corpus."""
+    from pricewright.operators import retrieval as ret
+
+    df = spark.range(5000).select(F.concat(F.lit("word"), "id").alias("term"), F.lit(1).alias("df")).unionByName(spark.createDataFrame([("their", 3), ("would", 2)], "term string, df int"))
+    got = ret.repair(ret.query_terms(spark, {"q1": "theirr", "q2": "would", "q3": "xyzzy"}, widen=False), stash(df, "df"))
+    assert sorted((r.query, r.term, r.weight) for r in got.collect()) == [("q1", "their", 0.6), ("q2", "would", 1.0)]
+    plan = got._jdf.queryExecution().optimizedPlan()
+    sides = [j for j in _nodes(plan) if j.nodeName() == "Join"]
+    assert sides
+    for j in sides:  # a side with the vocabulary is never the one that Spark builds
+        hint = j.hint()
+        told = [(side, h) for side, h in ((j.left(), hint.leftHint()), (j.right(), hint.rightHint())) if h.isDefined()]
+        assert told and all("broadcast" in h.get().toString() for _, h in told)
+
+
+def _nodes(plan):
+    yield plan
+    for k in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(k))
