@@ -231,3 +231,20 @@ def _nodes(plan):
     yield plan
     for k in range(plan.children().size()):
         yield from _nodes(plan.children().apply(k))
+
+
+def test_equal_documents_have_the_very_same_score(spark):
+    """Three terms add up alike in whatever order they come, so documents alike tie and the id decides."""
+    from pricewright.operators import retrieval as ret
+
+    rows = [(d, t, tf) for d in range(300) for t, tf in (("und", 3.0), ("der", 7.0), ("tzheit", 1.0))]
+    rows = [rows[k] for k in sorted(range(len(rows)), key=lambda k: k * 7919 % 9973)]
+    tf = spark.createDataFrame(rows, "doc long, term string, tf double").repartition(7)
+    docs = spark.range(300).select(F.col("id").alias("doc"), F.lit(41.0).alias("len"))
+    index = ret.Index(tf, docs, None, None)
+    terms = [("q", "und", 1.0, 0.1), ("q", "der", 1.0, 0.7), ("q", "tzheit", 1.0, 5.3)]
+    terms = spark.createDataFrame(terms, "query string, term string, weight double, idf double").withColumn("avg_len", F.lit(37.0))
+    got = ret.bm25(index, terms, docs.where("doc >= 10"))
+    assert got.select("lexical").distinct().count() == 1
+    assert [r.doc for r in ret.top(got, "lexical", 5).orderBy("rank").collect()] == [10, 11, 12, 13, 14]
+    assert {tuple(sorted(r.matched)) for r in got.collect()} == {("der", "tzheit", "und")}
