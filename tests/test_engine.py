@@ -248,3 +248,38 @@ def test_equal_documents_have_the_very_same_score(spark):
     assert got.select("lexical").distinct().count() == 1
     assert [r.doc for r in ret.top(got, "lexical", 5).orderBy("rank").collect()] == [10, 11, 12, 13, 14]
     assert {tuple(sorted(r.matched)) for r in got.collect()} == {("der", "tzheit", "und")}
+
+
+def test_eligible_documents_meet_only_rows_of_asked_terms(spark):
+    from pricewright.operators import retrieval as ret
+
+    tf = stash(spark.createDataFrame([(d, t, 1.0) for d in range(50) for t in ("a", "b", f"t{d}")], "doc long, term string, tf double"), "tf")
+    docs = stash(spark.range(50).select(F.col("id").alias("doc"), F.lit(3.0).alias("len")), "docs")
+    terms = spark.createDataFrame([("q", "a", 1.0, 0.5, 3.0)], "query string, term string, weight double, idf double, avg_len double")
+    once = docs.where("doc < 5")
+    got = ret.bm25(ret.Index(tf, docs, None, None), terms, once.unionAll(once))
+    assert sorted(r.doc for r in got.collect()) == [0, 1, 2, 3, 4]
+    assert got.select("lexical").distinct().count() == 1
+    assert "LeftSemi" not in got._jdf.queryExecution().optimizedPlan().toString()  # it is moved to the index itself
+
+
+def test_filter_conjunction_keeps_the_smallest_discount(spark, tmp_path):
+    """The SQL asks for a price below the list price, by however little."""
+    duckdb = pytest.importorskip("duckdb")
+    from pricewright.queries import QUERIES, SQL
+
+    source = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{source}/supplier.parquet").write.parquet(f"{tmp_path}/supplier.parquet")
+    part = spark.read.parquet(f"{source}/part.parquet").where("p_partkey < 3").withColumns({"p_brand": F.lit("Brand#1"), "p_retailprice": F.lit(1000.0)})
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    item = spark.read.parquet(f"{source}/lineitem.parquet").limit(3)
+    item = item.withColumns({"l_orderkey": F.monotonically_increasing_id(), "l_suppkey": F.lit(1).cast("long"), "l_linenumber": F.lit(3), "l_quantity": F.lit(1.0), "l_linestatus": F.lit("O"), "l_returnflag": F.lit("N"), "l_tax": F.lit(0.0), "l_discount": F.lit(0.0)})
+    item = item.repartition(1).withColumn("l_partkey", F.pmod("l_orderkey", F.lit(3)))
+    prices = F.when(F.col("l_partkey") == 0, 999.9).when(F.col("l_partkey") == 1, 1000.0).otherwise(700.0)
+    item.withColumn("l_extendedprice", prices).write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect()
+    for t in ("part", "supplier", "lineitem"):
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(c.execute(SQL["filter_conjunction"]).fetchall())
+    assert sorted(x[1] for x in want) == [700.0, 999.9]
+    assert sorted(tuple(r) for r in QUERIES["filter_conjunction"](spark, str(tmp_path)).collect()) == want
