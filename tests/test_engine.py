@@ -283,3 +283,31 @@ def test_filter_conjunction_keeps_the_smallest_discount(spark, tmp_path):
     want = sorted(c.execute(SQL["filter_conjunction"]).fetchall())
     assert sorted(x[1] for x in want) == [700.0, 999.9]
     assert sorted(tuple(r) for r in QUERIES["filter_conjunction"](spark, str(tmp_path)).collect()) == want
+
+
+def test_nearest_is_brute_force(spark, monkeypatch):
+    """Copies, zeros, other lengths and nulls among the vectors; blocks smaller than the table; no pair goes through a join of rows."""
+    import random
+
+    from pricewright.functions import vectors as vec
+    from pricewright.operators import nearest as near
+    from pricewright.operators import retrieval as ret
+
+    pick = random.Random(2)
+    rows = [[pick.gauss(0, 1) for _ in range(8)] for _ in range(150)]
+    rows += [rows[k % 4] for k in range(60)] + [[0.0] * 8, [0.0] * 8]
+    odd = [[1.0, 2.0], [], None]
+    monkeypatch.setattr(near, "BLOCK", 40)
+    monkeypatch.setattr(near, "ASKED", 3)
+    for vectors in (rows, rows + odd):
+        df = spark.createDataFrame(list(enumerate(vectors)), "id long, v array<float>").unionByName(spark.createDataFrame([(None, rows[0])], "id long, v array<float>"))
+        q = df.where("id % 10 = 0").select(F.col("id").alias("query"), F.col("v").alias("a"))
+        for measure in (vec.cosine, vec.dot):
+            if measure is vec.dot and vectors is not rows:
+                continue  # sums of unequal lengths are null
+            pairs = df.crossJoin(q).where("id <> query").select("query", F.col("id").alias("doc"), measure(F.col("a"), F.col("v")).alias("score"))
+            want = sorted(tuple(r) for r in ret.top(pairs, "score", 10).select("query", "rank", "doc", "score").collect())
+            found = near.nearest(df, F.col("id") % 10 == 0, measure, 10, measure is vec.cosine)
+            assert sorted(tuple(r) for r in found.select("query", "rank", "doc", "score").collect()) == want
+            if vectors is rows:
+                assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
